@@ -124,7 +124,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     first = placed.where(F.col("o").isin([o for _, o in heads])).join(F.broadcast(hosts), "o")
     guests = first.groupBy("host").agg(F.min(F.struct("id", "body")).alias("m")).select("host", "m.id", "m.body")
     rows = placed.select("part", F.lit(False).alias("guest"), "id", "body").unionByName(guests.select(F.col("host").alias("part"), F.lit(True).alias("guest"), "id", "body"))
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "guest", "id", "body"), ranges
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "id", "body"), ranges
 
 
 def _bucket(cuts: list[int]) -> Column:

@@ -13,7 +13,7 @@ for certain, and is left out of what follows.
 Second pass. Windows estimated repeated are grouped exactly, by 128 bits of hash over their whole
 word sequence. Each task sends one record for each different window, so a passage in a third
 of all documents costs one record a task; windows repeated within a task are settled there.
-Answers return as word positions by document, and covered words are cut from whole texts.
+Answers return packed by destination of documents, and covered words are cut from whole texts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ LEAST, MOST, CELLS = 16, 28, 12
 #: A sketch row travels in 2**CHUNK cells a record.
 CHUNK = 22
 #: Windows that a task holds before it sends them on.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def _slide(x: np.ndarray, n: int, take) -> np.ndarray:
@@ -148,13 +148,13 @@ def _runs(flags: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(change)[: len(flags)] > 0
 
 
-_MARK = "bucket int, o bigint, t bigint, places binary, h binary, flags binary"
+_ASKED = "bucket int, dest int, h binary, flags binary, places binary"
 
 
-def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(o, t, places): starts of repeated windows as packed 32-bit word numbers, by document key.
+def repeated_windows(docs: DataFrame, dests: int, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """(dest, block): starts of repeated windows by document, packed for each destination of documents.
 
-    `docs` has the key (o, t) and body. A document can have several rows.
+    `docs` has body, the document's key (o, t) and dest, a number below `dests`.
     """
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -162,6 +162,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
     bits = int(min(MOST, max(LEAST, np.ceil(np.log2(CELLS * estimate)))))
     sketch = spark.sparkContext.broadcast(_sketch(docs.select("body"), size, gram, bits))
     buckets = storage.partitions(spark)
+    held_most = HELD
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of, held = sketch.value, []
@@ -179,28 +180,22 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
             group = np.cumsum(new) - 1
             several = np.bincount(group)[group] > 1
             # windows repeated here: settled, and told to the others once
-            yield from _marks(keys, doc[several], place[several])
-            single = ~several
-            ask = np.concatenate([np.flatnonzero(single), np.flatnonzero(new & several)])
-            ask = ask[np.argsort((h1[ask] >> np.uint64(32)) % np.uint64(buckets), kind="stable")]
+            settled = _blocks(keys[doc[several]], place[several])
+            if settled:
+                yield _batch([(-1 - d, d, None, None, b) for d, b in settled])
+            ask = np.concatenate([np.flatnonzero(~several), np.flatnonzero(new & several)])
             bucket = ((h1[ask] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            for a in range(0, len(ask), 1 << 16):
-                some, of = ask[a : a + (1 << 16)], bucket[a : a + (1 << 16)]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-                recs = []
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    w = some[x:y]
-                    block = np.empty((y - x, 2), np.uint64)
-                    block[:, 0], block[:, 1] = h1[w], h2[w]
-                    recs.append((int(of[x]), block.tobytes(), np.packbits(several[w]).tobytes(), _pack(keys[doc[w]], place[w])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in recs], pa.int32()), pa.nulls(len(recs), pa.int64()), pa.nulls(len(recs), pa.int64()), pa.array([r[3] for r in recs], pa.binary()), pa.array([r[1] for r in recs], pa.binary()), pa.array([r[2] for r in recs], pa.binary())],
-                    names=["bucket", "o", "t", "places", "h", "flags"],
-                )
+            order = np.argsort(bucket, kind="stable")
+            ask, bucket = ask[order], bucket[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if x < y:
+                    w = ask[x:y]
+                    both = np.stack([h1[w], h2[w]], 1)
+                    yield _batch([(int(bucket[x]), None, both.tobytes(), np.packbits(several[w]).tobytes(), _pack(keys[doc[w]], place[w]))])
 
         for batch in batches:
-            o, t = (arrow.column(batch, c).to_numpy(zero_copy_only=False) for c in ("o", "t"))
-            both = np.stack([o, t], 1)
+            key = np.stack([arrow.column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("o", "t", "dest")], 1)
             for i, j, raw, off in arrow.pieces(arrow.column(batch, "body")):
                 s, e, rows = arrow.word_spans(raw, off)
                 words = arrow.word_hashes(raw, s, e)
@@ -216,9 +211,10 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
                 doc = rows[starts]
                 used, small = np.unique(doc, return_inverse=True)
                 base = sum(len(h[4]) for h in held)
-                held.append((arrow.window_hashes(words, starts, starts + size), arrow.window_hashes(words, starts, starts + size, second=True), (small + base).astype(np.int64), (starts - begin[doc]).astype(np.int64), both[i + used]))
+                first, last = starts, starts + size
+                held.append((arrow.window_hashes(words, first, last), arrow.window_hashes(words, first, last, second=True), (small + base).astype(np.int64), (starts - begin[doc]).astype(np.int64), key[i + used]))
                 total += len(starts)
-                if total > HELD:
+                if total > held_most:
                     yield from send()
                     total = 0
         yield from send()
@@ -240,12 +236,12 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
             g = np.cumsum(new) - 1
             many = (np.bincount(g) > 1) | (np.bincount(g, weights=flag) > 0)
             hit = order[many[g] & ~flag]
-            yield from _answers(key[hit], at[hit])
+            yield from _out(_blocks(key[hit], at[hit]))
 
         for batch in batches:
-            for bucket, o, t, p, x, f in zip(*(arrow.column(batch, c).to_pylist() for c in ("bucket", "o", "t", "places", "h", "flags")), strict=True):
+            for bucket, dest, x, f, p in zip(*(arrow.column(batch, c).to_pylist() for c in ("bucket", "dest", "h", "flags", "places")), strict=True):
                 if x is None:  # settled already
-                    yield pa.RecordBatch.from_arrays([pa.array([o], pa.int64()), pa.array([t], pa.int64()), pa.array([p], pa.binary())], names=["o", "t", "places"])
+                    yield from _out([(dest, p)])
                     continue
                 if bucket != open_bucket:
                     yield from close()
@@ -258,50 +254,42 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
                 place.append(at)
         yield from close()
 
-    asked = docs.mapInArrow(candidates, _MARK)
-    dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(group, "o bigint, t bigint, places binary")
+    asked = docs.mapInArrow(candidates, _ASKED)
+    dealt = asked.repartitionById(buckets, F.when(F.col("bucket") < 0, F.col("dest")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(group, "dest int, block binary")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=["bucket", "dest", "h", "flags", "places"])
+
+
+def _out(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    if blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["dest", "block"])
 
 
 def _pack(keys: np.ndarray, place: np.ndarray) -> bytes:
-    """Document keys by first use and, for each window, its key's number and word number."""
+    """The distinct document keys (o, t, dest) and, for each window, its key's number and its first word's."""
     used, number = np.unique(keys, axis=0, return_inverse=True)
     return np.int64(len(used)).tobytes() + used.astype(np.int64).tobytes() + number.reshape(-1).astype(np.uint32).tobytes() + place.astype(np.uint32).tobytes()
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(block, np.int64, 1)[0])
-    used = np.frombuffer(block, np.int64, 2 * n, 8).reshape(n, 2)
-    rest = np.frombuffer(block, np.uint32, offset=8 + 16 * n)
+    used = np.frombuffer(block, np.int64, 3 * n, 8).reshape(n, 3)
+    rest = np.frombuffer(block, np.uint32, offset=8 + 24 * n)
     return used[rest[: len(rest) // 2]], rest[len(rest) // 2 :].astype(np.int64)
 
 
-def _by_document(keys: np.ndarray, place: np.ndarray) -> list[tuple[int, int, bytes]]:
+def _blocks(keys: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """Windows packed for each destination."""
     if not len(keys):
         return []
-    order = np.lexsort((place, keys[:, 1], keys[:, 0]))
+    order = np.argsort(keys[:, 2], kind="stable")
     keys, place = keys[order], place[order]
-    cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-    return [(int(keys[a, 0]), int(keys[a, 1]), place[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-
-def _answers(keys: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    some = _by_document(keys, place)
-    for a in range(0, len(some), 4096):
-        part = some[a : a + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array([o for o, _, _ in part], pa.int64()), pa.array([t for _, t, _ in part], pa.int64()), pa.array([p for *_, p in part], pa.binary())], names=["o", "t", "places"])
-
-
-def _marks(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Settled windows take part in the shuffle under a negative bucket spread by document."""
-    some = _by_document(keys[doc], place) if len(doc) else []
-    for a in range(0, len(some), 4096):
-        part = some[a : a + 4096]
-        spread = [-1 - (t & 0x3FF) for _, t, _ in part]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(spread, pa.int32()), pa.array([o for o, _, _ in part], pa.int64()), pa.array([t for _, t, _ in part], pa.int64()), pa.array([p for *_, p in part], pa.binary()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())],
-            names=["bucket", "o", "t", "places", "h", "flags"],
-        )
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys[:, 2])) + 1, [len(keys)]])
+    return [(int(keys[a, 2]), _pack(keys[a:b], place[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -312,35 +300,55 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names are replaced. Memory: a sketch of at most 2**MOST cells a row, HELD windows a task.
     """
     base = docs.drop("n_words", "n_removed", "kept")
+    columns = base.columns
     number = F.col(id_col).cast("long") if dict(base.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(id_col)
-    key = [F.coalesce(number, F.lit(-(1 << 63))).alias("o"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t")]
-    found = repeated_windows(base.select(*key, F.coalesce(text_col, F.lit("")).alias("body")), size, gram)
-    # at most one word number for each word of a text, and for each of its repeated rows
-    marks = found.groupBy(F.col("o").alias("__o"), F.col("t").alias("__t")).agg(F.collect_list("places").alias("__places"))
-    rows = base.select("*", *[k.alias(n) for k, n in zip(key, ("__ko", "__kt"), strict=True)])
-    joined = rows.join(marks, (F.col("__ko") == F.col("__o")) & (F.col("__kt") == F.col("__t")), "left").select(*base.columns, "__places")
+    body = F.coalesce(text_col, F.lit(""))
+    dests = storage.partitions(docs.sparkSession)
+    keyed = base.select(F.struct(*columns).alias("row"), F.coalesce(number, F.lit(-(1 << 63))).alias("o"), F.xxhash64(body).alias("t"))
+    keyed = keyed.withColumn("dest", F.pmod(F.xxhash64("o", "t"), F.lit(dests)).cast("int"))
+    found = repeated_windows(keyed.select(F.coalesce(f"row.{text_col}", F.lit("")).alias("body"), "o", "t", "dest"), dests, size, gram)
+    # answers and documents of a destination meet in one sorted stream, answers first
+    answers = found.select("dest", F.lit(0).alias("kind"), "block", F.lit(None).cast("long").alias("o"), F.lit(None).cast("long").alias("t"), F.lit(None).cast(keyed.schema["row"].dataType).alias("row"))
+    rows = keyed.select("dest", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("block"), "o", "t", "row")
+    stream = answers.unionByName(rows).repartitionById(dests, "dest").sortWithinPartitions("dest", "kind")
     schema = T.StructType([*base.schema.fields]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
-    columns = base.columns
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_dest, places = None, {}
         for batch in batches:
+            kinds = arrow.column(batch, "kind").to_numpy(zero_copy_only=False)
+            dest = arrow.column(batch, "dest").to_numpy(zero_copy_only=False)
+            blocks = arrow.column(batch, "block")
             n_words, n_removed, kept = [], [], []
-            for text, places in zip(arrow.texts(arrow.column(batch, text_col)), arrow.column(batch, "__places").to_pylist(), strict=True):
-                words = text.split()
+            mine = np.flatnonzero(kinds == 1)
+            row = arrow.column(batch, "row").filter(pa.array(kinds == 1))
+            texts = iter(arrow.texts(row.field(columns.index(text_col))))
+            o, t = (arrow.column(batch, c).to_pylist() for c in ("o", "t"))
+            for i, (kind, d) in enumerate(zip(kinds.tolist(), dest.tolist(), strict=True)):
+                if d != open_dest:
+                    open_dest, places = d, {}
+                if kind == 0:
+                    keys, at = _unpack(blocks[i].as_py())
+                    order = np.lexsort((keys[:, 1], keys[:, 0]))
+                    keys, at = keys[order], at[order]
+                    cuts = np.concatenate([[0], np.flatnonzero((keys[1:, :2] != keys[:-1, :2]).any(1)) + 1, [len(keys)]])
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        places.setdefault((int(keys[a, 0]), int(keys[a, 1])), []).append(at[a:b].astype(np.uint32))
+                    continue
+                words = next(texts).split()
                 n_words.append(len(words))
-                if not places:
+                starts = places.get((o[i], t[i]))
+                if starts is None:
                     n_removed.append(0)
                     kept.append(b" ".join(words).decode())
                     continue
                 flags = np.zeros(len(words), bool)
-                for p in places:
-                    flags[np.frombuffer(p, np.uint32)] = True
+                for p in starts:
+                    flags[p] = True
                 gone = _runs(flags, size)
                 n_removed.append(int(gone.sum()))
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone)]).decode())
-            yield pa.RecordBatch.from_arrays([*[arrow.column(batch, c) for c in columns], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
-
-    return joined.mapInArrow(cut, schema)
-
+                kept.append(b" ".join([words[k] for k in np.flatnonzero(~gone)]).decode())
+            if len(mine):
+                yield pa.RecordBatch.from_arrays([*[row.field(c) for c in range(len(columns))], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
+    return stream.mapInArrow(cut, schema)
