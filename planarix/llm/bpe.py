@@ -12,13 +12,15 @@ neighbours are all compatible is what the merges give, so each position is settl
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from planarix.llm import arrow
 
@@ -99,7 +101,7 @@ class Codec:
         key = (a, b)
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= 4 * CACHE:
+            if len(self.compatible) >= CACHE:
                 self.compatible.clear()
             known = self.compatible[key] = self._undo(a, b)
         return known
@@ -225,3 +227,22 @@ def decode(docs: DataFrame, path: str, *, ids_col: str = "ids", keep: list[str]
         return [pa.array([codec.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())]
 
     return arrow.with_columns(docs, "decoded string", compute, keep)
+
+
+def round_trip(docs: DataFrame, path: str, fields: str, derive: Callable, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Encode and decode in one pass: append the columns `fields` that derive(text, ids, decoded) returns for each row.
+
+    `ids` is a 32-bit integer array. One Python worker a task holds the tables, where separate
+    encode and decode steps need one each.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Tables.load(path))
+    types = [f.type for f in to_arrow_schema(_parse_datatype_string(fields))]
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec, rows = _codec(shared, path), []
+        for text in arrow.strings(arrow.column(batch, text_col)):
+            ids = np.frombuffer(codec.encode(text), "<i4")
+            rows.append(derive(text, ids, codec.decode(ids)))
+        return [pa.array([r[n] for r in rows], t) for n, t in enumerate(types)]
+
+    return arrow.with_columns(docs, fields, compute, keep)

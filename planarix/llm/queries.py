@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import hashlib
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planarix.llm import arrow, bpe, exact_dedup, fingerprints, mixing, quality, sharding, simhash, substring_dedup, toxicity, url_filter
+from planarix.llm import bpe, exact_dedup, fingerprints, mixing, quality, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -55,20 +53,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def _id_digest(encoded: DataFrame) -> DataFrame:
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        col = arrow.column(batch, "ids")
-        flat, offsets = col.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), col.offsets.to_numpy()
-        return [pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())]
-
-    return arrow.with_columns(encoded, "ids_sha256 string", compute)
+def _digests(text: str, ids, decoded: str) -> tuple:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, keep=["doc_id"])
-    decoded = bpe.decode(_id_digest(encoded), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.round_trip(docs, tokenizer_path(), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests, keep=["doc_id"])
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
