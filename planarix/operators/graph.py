@@ -1,0 +1,196 @@
+"""Spatial graphs as edge tables (focal, neighbor, weight, dist)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from planarix.functions import geometry as G
+from planarix.kernels import triangulation
+from planarix.operators import spatial_join as J
+from planarix.operators.objects import centroids
+
+METHODS = ("delaunay", "knn", "rel_nhood", "distband", "gabriel", "voronoi")
+EDGES = "focal long, neighbor long, weight double, dist double"
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("focal"), F.col("b").alias("neighbor"), F.lit(1.0).alias("weight"), F.sqrt("d2").alias("dist"))
+
+
+def fit_distband(df: DataFrame, threshold: float, id_col: str = "uid") -> DataFrame:
+    """All ordered pairs no further apart than the threshold."""
+    c = centroids(df, id_col)
+    return _edges(J.distance_pairs(c, c, threshold).where("a <> b"))
+
+
+def fit_knn(df: DataFrame, k: int = 5, id_col: str = "uid") -> DataFrame:
+    """The k nearest of each node, ties by id; directed."""
+    c = centroids(df, id_col)
+    return _edges(J.nearest(c, c, k))
+
+
+def _triangulated(df: DataFrame, how: str, id_col: str, by: list[str]) -> DataFrame:
+    """Edges per group of `by` (a slide): triangulation is global in its points, so one slide is one task and slides run side by side."""
+    c = centroids(df, id_col)
+    keyed = df.select(F.col(id_col).alias("id"), F.struct(F.lit(0), *by).alias("slide")).join(c, "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, xy = pdf["id"].to_numpy(), pdf[["x", "y"]].to_numpy(float)
+        e = triangulation.edges(xy, how)
+        both = np.vstack([e, e[:, ::-1]])
+        d = np.hypot(*(xy[both[:, 0]] - xy[both[:, 1]]).T) if len(both) else np.zeros(0)
+        return pd.DataFrame({"focal": ids[both[:, 0]], "neighbor": ids[both[:, 1]], "weight": 1.0, "dist": d})
+
+    return keyed.groupBy(F.to_json("slide")).applyInPandas(run, EDGES)
+
+
+def fit_delaunay(df: DataFrame, id_col: str = "uid", by: list[str] | None = None) -> DataFrame:
+    return _triangulated(df, "delaunay", id_col, by or [])
+
+
+def fit_gabriel(df: DataFrame, id_col: str = "uid", by: list[str] | None = None) -> DataFrame:
+    """Edges whose diametral circle holds no other node."""
+    return _triangulated(df, "gabriel", id_col, by or [])
+
+
+def fit_rel_nhood(df: DataFrame, id_col: str = "uid", by: list[str] | None = None) -> DataFrame:
+    """Edges without a third node nearer to both ends than they are to each other."""
+    return _triangulated(df, "rel_nhood", id_col, by or [])
+
+
+def fit_voronoi(df: DataFrame, id_col: str = "uid", by: list[str] | None = None) -> DataFrame:
+    """Contiguity of Voronoi cells: the dual of the Delaunay triangulation."""
+    return _triangulated(df, "delaunay", id_col, by or [])
+
+
+def fit_graph(df: DataFrame, method: str, id_col: str = "uid", threshold: float | None = 100, k: int = 5, by: list[str] | None = None, prune_neighbors: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(neighbours, links): the edge table with every pair, and the undirected link table pruned at `threshold`.
+
+    With prune_neighbors the threshold prunes the former too. Nodes without neighbours appear in
+    neither; neighbourhood operators start from the node table and so keep them.
+    """
+    if method not in METHODS:
+        raise ValueError(f"Type must be one of {METHODS}, got {method!r}")
+    if method == "distband":
+        w = fit_distband(df, threshold, id_col)
+    elif method == "knn":
+        w = fit_knn(df, k, id_col)
+    else:
+        w = {"delaunay": fit_delaunay, "gabriel": fit_gabriel, "rel_nhood": fit_rel_nhood, "voronoi": fit_voronoi}[method](df, id_col, by)
+    if prune_neighbors and threshold is not None:
+        w = w.where(F.col("dist") <= threshold)
+    links = weights2gdf(df, w, id_col)
+    return w, links.where(F.col("dist") <= threshold) if threshold is not None else links
+
+
+def link_class(a, b):
+    """Unordered class pair, never parsed back."""
+    return F.concat_ws("-", F.least(a, b), F.greatest(a, b))
+
+
+def weights2gdf(df: DataFrame, w: DataFrame, id_col: str = "uid", class_col: str = "class_name") -> DataFrame:
+    """Links with end points, classes and a two-point line; each unordered pair once."""
+    if not dict(df.dtypes).get(class_col) == "string":
+        raise ValueError(f"a string column {class_col!r} is needed")
+    nodes = centroids(df, id_col).join(df.select(F.col(id_col).alias("id"), F.col(class_col).alias("class")), "id")
+    side = lambda p: nodes.select(F.col("id").alias(p), F.col("x").alias(f"{p}_centroid_x"), F.col("y").alias(f"{p}_centroid_y"), F.col("class").alias(f"{p}_class_name"))
+    once = w.where("focal <> neighbor").groupBy(F.least("focal", "neighbor").alias("focal"), F.greatest("focal", "neighbor").alias("neighbor")).agg(F.max("weight").alias("weight"), F.min("dist").alias("dist"))
+    out = once.join(side("focal"), "focal").join(side("neighbor"), "neighbor")
+    ends = F.array(G.xy(F.col("focal_centroid_x"), F.col("focal_centroid_y")), G.xy(F.col("neighbor_centroid_x"), F.col("neighbor_centroid_y")))
+    return out.withColumn("class_name", link_class(F.col("focal_class_name"), F.col("neighbor_class_name"))).withColumn("geometry", G.line(ends))
+
+
+def w_subset(w: DataFrame, ids: DataFrame) -> DataFrame:
+    """The induced sub-graph of the nodes in column `id`."""
+    one = ids.select("id").distinct()
+    return w.join(one.withColumnRenamed("id", "focal"), "focal", "left_semi").join(one.withColumnRenamed("id", "neighbor"), "neighbor", "left_semi")
+
+
+def degree(nodes: DataFrame, w: DataFrame, id_col: str = "uid") -> DataFrame:
+    n = w.groupBy(F.col("focal").alias(id_col)).agg(F.countDistinct("neighbor").alias("degree"))
+    return nodes.select(id_col).join(n, id_col, "left").fillna(0, ["degree"])
+
+
+def clustering_coefficient(nodes: DataFrame, w: DataFrame, id_col: str = "uid") -> DataFrame:
+    """Share of a node's neighbour pairs that are linked, by a triangle join oriented by degree.
+
+    Orienting edges from lower to higher degree bounds a node's out-degree by the square root of
+    the number of edges, so a hub doesn't yield all pairs of its neighbours.
+    """
+    und = w.where("focal <> neighbor").select(F.least("focal", "neighbor").alias("a"), F.greatest("focal", "neighbor").alias("b")).distinct()
+    deg = und.select(F.col("a").alias("id")).unionAll(und.select("b")).groupBy("id").agg(F.count("*").alias("d"))
+    da, db = (deg.select(F.col("id").alias(c), F.col("d").alias(f"d{c}")) for c in "ab")
+    key = lambda d, i: F.struct(F.col(d).alias("d"), F.col(i).alias("i"))
+    up = und.join(da, "a").join(db, "b").select(
+        F.when(key("da", "a") < key("db", "b"), F.col("a")).otherwise(F.col("b")).alias("u"), F.when(key("da", "a") < key("db", "b"), F.col("b")).otherwise(F.col("a")).alias("v")
+    )
+    wedge = up.select("u", F.col("v").alias("v1")).join(up.select("u", F.col("v").alias("v2")), "u").where("v1 < v2")
+    tri = wedge.join(und, (F.col("v1") == F.col("a")) & (F.col("v2") == F.col("b"))).select(F.explode(F.array("u", "v1", "v2")).alias("id"))
+    count = tri.groupBy("id").agg(F.count("*").alias("t"))
+    out = nodes.select(F.col(id_col).alias("id")).join(deg, "id", "left").join(count, "id", "left")
+    coef = F.when(F.col("d") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
+    return out.select(F.col("id").alias(id_col), coef.alias("clustering"))
+
+
+def eigenvector_centrality(nodes: DataFrame, w: DataFrame, id_col: str = "uid", rounds: int = 20) -> DataFrame:
+    """Power iteration on A + I from equal values, one join and aggregate a round, scaled to length 1."""
+    from planarix.operators.components import cut_lineage
+
+    v = nodes.select(F.col(id_col).alias("id"), F.lit(1.0).alias("v"))
+    e = cut_lineage(w.where("focal <> neighbor").select("focal", "neighbor").distinct())
+    for n in range(rounds):
+        v = e.join(v.withColumnRenamed("id", "neighbor"), "neighbor").select(F.col("focal").alias("id"), "v").unionAll(v).groupBy("id").agg(F.sum("v").alias("v"))
+        if n % 5 == 4 or n == rounds - 1:  # values can't overflow in between
+            v = cut_lineage(v)
+            norm = v.agg(F.sqrt(F.sum(F.pow("v", 2)))).first()[0] or 1.0
+            v = v.select("id", (F.col("v") / F.lit(float(norm))).alias("v"))
+    return v.select(F.col("id").alias(id_col), F.col("v").alias("eigenvector"))
+
+
+def path_centralities(w: DataFrame, components: DataFrame) -> DataFrame:
+    """closeness and betweenness (unweighted, Brandes) within each connected component, one task a component."""
+    keyed = w.where("focal <> neighbor").select("focal", "neighbor").distinct().join(components.select(F.col("node").alias("focal"), "component"), "focal")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf[["focal", "neighbor"]].to_numpy())
+        at = {v: n for n, v in enumerate(ids)}
+        near: list[list[int]] = [[] for _ in ids]
+        for a, b in pdf[["focal", "neighbor"]].itertuples(index=False):
+            near[at[a]].append(at[b])
+        n, close, between = len(ids), np.zeros(len(ids)), np.zeros(len(ids))
+        for s in range(n):
+            dist, ways, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
+            for v in order:
+                for u in near[v]:
+                    if u not in dist:
+                        dist[u], ways[u], before[u] = dist[v] + 1, 0.0, []
+                        order.append(u)
+                    if dist[u] == dist[v] + 1:
+                        ways[u] += ways[v]
+                        before[u].append(v)
+            total = sum(dist.values())
+            close[s] = (len(dist) - 1) / total if total else 0.0
+            share = dict.fromkeys(order, 0.0)
+            for v in reversed(order):
+                for u in before[v]:
+                    share[u] += ways[u] / ways[v] * (1 + share[v])
+                if v != s:
+                    between[v] += share[v]
+        return pd.DataFrame({"node": ids, "closeness": close, "betweenness": between / 2})
+
+    return keyed.groupBy("component").applyInPandas(run, "node long, closeness double, betweenness double")
+
+
+def get_connected_components(w: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the graph, or of the induced sub-graph of `ids`; single nodes are components of their own."""
+    from planarix.operators.components import components
+
+    sub = w if ids is None else w_subset(w, ids)
+    found = components(sub.select(F.col("focal").alias("a"), F.col("neighbor").alias("b")))
+    nodes = w.select(F.col("focal").alias("node")).unionAll(w.select("neighbor")).distinct() if ids is None else ids.select(F.col("id").alias("node")).distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
