@@ -122,9 +122,11 @@ def with_bounds(df: DataFrame, geom: str = "geometry") -> DataFrame:
 def is_box(geom: Column) -> Column:
     """Whether a polygon is an axis-parallel rectangle with four corners."""
     ring = geom["rings"][0]
-    b = bounds(geom)
-    corner = lambda p: ((p["x"] == b["minx"]) | (p["x"] == b["maxx"])) & ((p["y"] == b["miny"]) | (p["y"] == b["maxy"]))
-    return (geom["kind"] == "polygon") & (F.size(geom["rings"]) == 1) & (F.size(ring) == 5) & F.forall(ring, corner) & (ring_area(ring) == (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"]))
+    p = [F.get(ring, F.lit(i)) for i in range(5)]
+    level = lambda i, axis: p[i][axis] == p[i + 1][axis]
+    turns = lambda a, b: level(0, a) & level(1, b) & level(2, a) & level(3, b)
+    closed = (p[0]["x"] == p[4]["x"]) & (p[0]["y"] == p[4]["y"])
+    return F.coalesce((geom["kind"] == "polygon") & (F.size(geom["rings"]) == 1) & (F.size(ring) == 5) & closed & (turns("y", "x") | turns("x", "y")), F.lit(False))
 
 
 def holes(geom: Column) -> Column:

@@ -72,15 +72,21 @@ def nearest(left: DataFrame, right: DataFrame, k: int, *, r: float | None = None
 
 
 def _refine(pairs: DataFrame, predicate: str, distance: float) -> DataFrame:
-    """Keep pairs whose geometries ga, gb satisfy ga.predicate(gb), in numpy over Arrow batches."""
-    columns = [c for c in pairs.columns if c not in ("ga", "gb")]
+    """Keep pairs that `plain` accepts or, where it is null, whose geometries satisfy ga.predicate(gb), in numpy over Arrow batches."""
+    columns = ["ida", "idb"]
     schema = T.StructType([pairs.schema[c] for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (geometries(batch.column(batch.schema.get_field_index(c))) for c in ("ga", "gb"))
-            keep = pa.array([planar.satisfies(predicate, *x, *y, distance) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in columns], names=columns).filter(keep)
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023,E731
+            plain = get("plain")
+            open_ = plain.is_null()
+            keep = plain.fill_null(False).to_numpy(zero_copy_only=False).copy()
+            rest = open_.to_numpy(zero_copy_only=False)
+            if rest.any():
+                a, b = (geometries(get(c).filter(open_)) for c in ("ga", "gb"))
+                keep[rest] = [planar.satisfies(predicate, *x, *y, distance) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([get(c) for c in columns], names=columns).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, schema)
 
@@ -125,22 +131,32 @@ def predicate_pairs(left: DataFrame, right: DataFrame, predicate: str = "interse
     if predicate not in planar.PREDICATES:
         raise ValueError(f"predicate must be one of {planar.PREDICATES}, got {predicate!r}")
     pad = float(distance) if predicate == "dwithin" else 0.0
-    a = G.with_bounds(left).select(F.col(left_id).alias("ida"), F.col("geometry").alias("ga"), *[F.col(c).alias(f"a{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    b = G.with_bounds(right).select(F.col(right_id).alias("idb"), F.col("geometry").alias("gb"), *[F.col(c).alias(f"b{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    corners = ("minx", "miny", "maxx", "maxy")
+    sides, boxes = [], []
+    for df in (left, right):  # one small aggregate a side: usual size, and whether all are rectangles
+        side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+        row = G.with_bounds(df).agg(F.percentile_approx(side, 0.5, 1000), F.bool_and(G.is_box(F.col("geometry")))).first()
+        sides.append(row[0])
+        boxes.append(row[1] is not False)
     if size is None:  # about four times the usual side of the smaller objects
-        sides = [x.agg(F.percentile_approx(F.greatest(F.col(f"{p}maxx") - F.col(f"{p}minx"), F.col(f"{p}maxy") - F.col(f"{p}miny")), 0.5, 1000)).first()[0] for x, p in ((a, "a"), (b, "b"))]
         big = max([s for s in sides if s], default=1.0)
         size = max(4 * min([s for s in sides if s], default=1.0), big / 8, 2 * pad, 1e-9)
+    plain_only = all(boxes)
 
-    def cover(df: DataFrame, p: str, pad: float) -> DataFrame:
+    def cover(df: DataFrame, ident: str, p: str, pad: float) -> DataFrame:
+        b = G.with_bounds(df)
+        shapes = [] if plain_only else [G.is_box(F.col("geometry")).alias(f"{p}box"), F.col("geometry").alias(f"g{p}")]
+        b = b.select(F.col(ident).alias(f"id{p}"), *[F.col(c).alias(f"{p}{c}") for c in corners], *shapes)
         span = lambda axis: F.sequence(cell(F.col(f"{p}min{axis}") - pad, size), cell(F.col(f"{p}max{axis}") + pad, size))
-        return df.select("*", F.explode(span("x")).alias("cx")).select("*", F.explode(span("y")).alias("cy"))
+        return b.select("*", F.explode(span("x")).alias("cx")).select("*", F.explode(span("y")).alias("cy"))
 
-    a = a.withColumn("abox", G.is_box(F.col("ga")))
-    b = b.withColumn("bbox", G.is_box(F.col("gb")))
     corner = (F.col("cx") == cell(F.greatest(F.col("aminx") - pad, F.col("bminx")), size)) & (F.col("cy") == cell(F.greatest(F.col("aminy") - pad, F.col("bminy")), size))
     meet = (F.col("aminx") - pad <= F.col("bmaxx")) & (F.col("bminx") <= F.col("amaxx") + pad) & (F.col("aminy") - pad <= F.col("bmaxy")) & (F.col("bminy") <= F.col("amaxy") + pad)
-    pairs = cover(a, "a", pad).join(cover(b, "b", 0.0), ["cx", "cy"]).where(corner & meet)
-    plain = pairs.where(F.col("abox") & F.col("bbox") & _box_test(predicate, distance)).select("ida", "idb")
-    rest = _refine(pairs.where(~(F.col("abox") & F.col("bbox"))).select("ida", "idb", "ga", "gb"), predicate, distance).select("ida", "idb")
-    return plain.unionAll(rest).withColumnsRenamed({"ida": left_id, "idb": right_id})
+    pairs = cover(left, left_id, "a", pad).join(cover(right, right_id, "b", 0.0), ["cx", "cy"]).where(corner & meet)
+    if plain_only:
+        out = pairs.where(_box_test(predicate, distance)).select("ida", "idb")
+    else:
+        both = F.col("abox") & F.col("bbox")
+        test = F.when(both, _box_test(predicate, distance)).alias("plain")
+        out = _refine(pairs.select("ida", "idb", test, *[F.when(~both, F.col(g)).alias(g) for g in ("ga", "gb")]).where("plain is null or plain"), predicate, distance)
+    return out.withColumnsRenamed({"ida": left_id, "idb": right_id})
