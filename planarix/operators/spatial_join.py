@@ -33,7 +33,8 @@ def distance_pairs(left: DataFrame, right: DataFrame, r: float, *, strict: bool
     keyed = left.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell(F.col("x"), r).alias("cx"), cell(F.col("y"), r).alias("cy"))
     d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
     bound = F.lit(float(r) ** 2)
-    return keyed.join(spread, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") < bound if strict else F.col("d2") <= bound).select("a", "b", "d2")
+    # dealt by cell: a broadcast would leave the work with the few tasks that read a small input
+    return keyed.join(spread.hint("merge"), ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") < bound if strict else F.col("d2") <= bound).select("a", "b", "d2")
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, *, r: float | None = None, exclude_self: bool = True, most: int = 40) -> DataFrame:

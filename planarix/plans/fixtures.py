@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planarix import storage
 from planarix.functions import geometry as G
 
 CELLS = """
@@ -48,7 +49,7 @@ from events
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {table}", "from {src}"), src=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(sql.replace(f"from {table}", "from {src}"), src=storage.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

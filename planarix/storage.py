@@ -38,3 +38,9 @@ def release(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows evenly where there are fewer partitions than cores, as with one small file; else nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
