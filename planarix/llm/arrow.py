@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from planarix import storage
+
 #: Bytes of text that one vectorised step holds, unless a single text is longer.
 STEP_BYTES = 1 << 20
 
@@ -26,6 +28,7 @@ def with_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch],
     """Append the columns that `compute` makes from each Arrow batch.
 
     Input columns of the same (case-insensitive) names are replaced; `keep` narrows the others.
+    Inputs of fewer partitions than cores, as one small file gives, are dealt out first.
     """
     added = T._parse_datatype_string(fields)
     new = {f.name.lower() for f in added.fields}
@@ -39,7 +42,7 @@ def with_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch],
                 made = compute(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
 
-    return df.mapInArrow(run, schema)
+    return storage.spread(df).mapInArrow(run, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

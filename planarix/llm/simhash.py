@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarix.llm import arrow, storage
-from planarix.llm.components import components
+from planarix import storage
+from planarix.llm import arrow
+from planarix.operators.components import components
 
 #: Buckets up to this size are compared blockwise, larger ones by neighbour look-up.
 SMALL = 2048
@@ -159,17 +160,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     unless no other is there. Repeated rows share their component. Columns of these names are
     replaced.
 
-    Fingerprints are computed once and kept, with the identifier, in the shared folder; joins
-    meet hot fingerprints on one side only, the other has one row for each fingerprint.
+    Fingerprints are computed once and kept in the shared folder with the identifier and a hash of
+    the text, by which rows find their class again; joins on the fingerprint, which may be hot, have one
+    row for each fingerprint on their other side.
     """
     base = docs.drop("fp", "component_id")
-    marked = fingerprints(base, text_col=text_col, shingle=shingle)
-    slim = storage.materialise(fingerprints(base.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), text_col="body", shingle=shingle, keep=["id"]), "fingerprints")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = fingerprints(base.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("body")), text_col="body", shingle=shingle, keep=["id", "t"])
+    slim = storage.materialise(slim, "fingerprints")
     first = slim.groupBy("fp").agg(F.min("id").alias("first"))
     found = components(links(slim.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     grouped = first.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = storage.materialise(grouped.join(least, "component").select("fp", "component_id"), "classes")
+    placed = slim.join(classes.hint("merge"), "fp")
     if set(base.columns) <= {id_col, text_col}:
-        return slim.withColumnRenamed("id", id_col).join(classes.hint("merge"), "fp").select(id_col, "fp", "component_id")
-    return marked.join(classes.hint("merge"), "fp").select(*base.columns, "fp", "component_id")
+        return placed.select(F.col("id").alias(id_col), "fp", "component_id")
+    once = placed.dropDuplicates(["id", "t"]).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("fp").alias("__fp"), F.col("component_id").alias("__component"))
+    rows = base.withColumn("__key", F.xxhash64(text))
+    joined = rows.join(once.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__t")))
+    return joined.select(*base.columns, F.col("__fp").alias("fp"), F.col("__component").alias("component_id"))

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planarix.llm import arrow, storage
+from planarix import storage
+from planarix.llm import arrow
 
 SIZE, GRAM = 35, 8
 #: Cells of a sketch row: at least 2**LEAST, at most 2**MOST (so a merged sketch takes 64 MB at most), else CELLS for each estimated minimizer.
@@ -299,7 +300,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text are documents of their own: each makes the other's windows repeated. Columns of these
     names are replaced. Memory: a sketch of at most 2**MOST cells a row, HELD windows a task.
     """
-    base = docs.drop("n_words", "n_removed", "kept")
+    base = storage.spread(docs.drop("n_words", "n_removed", "kept"))
     columns = base.columns
     number = F.col(id_col).cast("long") if dict(base.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(id_col)
     body = F.coalesce(text_col, F.lit(""))

@@ -69,10 +69,7 @@ class Scorer:
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         """Log of windows above the threshold, of their share, and of their summed gain."""
-        gains = self.gains(text)
-        hit = gains[gains >= self.model.threshold]
-        n = max(1, len(gains))
-        return float(np.log1p(len(hit))), float(np.log1p(100.0 * len(hit) / n)), float(np.log1p(hit.sum() / n))
+        return evidence(self.gains(text), self.model.threshold)
 
     def score(self, text: str) -> float:
         m = self.model
@@ -80,6 +77,12 @@ class Scorer:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
+def evidence(gains: np.ndarray, threshold: int) -> tuple[float, float, float]:
+    hit = gains[gains >= threshold]
+    n = max(1, len(gains))
+    return float(np.log1p(len(hit))), float(np.log1p(100.0 * len(hit) / n)), float(np.log1p(hit.sum() / n))
+
+
 def _segments(toxic: list[str], ordinary: list[str], budget: int) -> list[bytes]:
     """Word-initial segments of toxic text that ordinary text hardly has, best first.
 
@@ -89,18 +92,22 @@ def _segments(toxic: list[str], ordinary: list[str], budget: int) -> list[bytes]
 
     def spread(docs: list[str], only: dict | None) -> dict[str, int]:
         """For each segment the smaller of its documents and its neighbourhoods."""
-        inside: dict[str, set[int]] = defaultdict(set)
-        around: dict[str, set[int]] = defaultdict(set)
+        inside: dict[str, set[int]] = defaultdict(set)  # of whole words
+        around: dict[str, set[tuple[str, str]]] = defaultdict(set)
         for number, text in enumerate(docs):
             words = ["", *_SPLIT.findall(text.lower()), ""]
-            for i in range(1, len(words) - 1):
-                w = words[i]
-                place = hash((words[i - 1], w, words[i + 1]))
-                for n in range(3, min(len(w), 12) + 1):
-                    if only is None or w[:n] in only:
-                        inside[w[:n]].add(number)
-                        around[w[:n]].add(place)
-        return {k: min(len(v), len(around[k])) for k, v in inside.items()}
+            for before, w, after in zip(words, words[1:], words[2:], strict=False):
+                if len(w) > 2:
+                    inside[w].add(number)
+                    around[w].add((before, after))
+        of: dict[str, list[str]] = defaultdict(list)
+        for w in inside:
+            for n in range(3, min(len(w), 12) + 1):
+                if only is None or w[:n] in only:
+                    of[w[:n]].append(w)
+        # neighbourhoods of different words are different; few of them settle a segment without a union
+        places = {k: sum(len(around[w]) for w in ws) for k, ws in of.items()}
+        return {k: min(n, len(set().union(*(inside[w] for w in of[k])))) for k, n in places.items() if n >= 4 or only is not None}
 
     in_toxic = {k: v for k, v in spread(toxic, None).items() if v >= 4}
     in_ordinary = spread(ordinary, in_toxic)
@@ -161,10 +168,11 @@ def train(toxic: list[str], ordinary: list[str], prior: float, window: int = 8,
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, prior / len(fit_t), (1 - prior) / len(fit_o)) * len(y)
     best: tuple[float, Model] | None = None
+    scorer = Scorer(draft)
+    gains = [scorer.gains(t) for t in fit_t + fit_o]
     for threshold in (1, 2, 3, 4):
         model = Model(**{**draft.__dict__, "threshold": threshold})
-        scorer = Scorer(model)
-        x = np.array([scorer.evidence(t) for t in fit_t + fit_o])
+        x = np.array([evidence(g, threshold) for g in gains])
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         w, b = _logistic((x - mean) / scale, y, weight)
         z = ((x - mean) / scale) @ w + b

@@ -5,7 +5,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from planarix.llm import components, mixing, queries, sharding, url_filter
+from planarix.llm import mixing, queries, sharding, url_filter
+from planarix.operators import components
 from tests.llm import cases
 
 
