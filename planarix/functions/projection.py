@@ -17,31 +17,53 @@ _BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 *
 _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed, and written into the plan, once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lonlat_to_xy(lon: Column, lat: Column) -> Column:
     """struct(x, y): forward transverse Mercator of zone 33."""
     p, d = F.radians(lat), F.radians(lon) - LON0
-    s, e = F.sin(p), 2 * math.sqrt(_N) / (1 + _N)
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.struct((EAST + K0 * _R * x).alias("x"), (K0 * _R * y).alias("y"))
+    e = 2 * math.sqrt(_N) / (1 + _N)
+
+    def series(k: Column) -> Column:
+        xi, eta = k["xi"], k["eta"]
+        x, y = eta, xi
+        for j, a in enumerate(_ALPHA, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct((EAST + K0 * _R * x).alias("x"), (K0 * _R * y).alias("y"))
+
+    def conformal(k: Column) -> Column:
+        return F.struct(F.atan2(k["t"], F.cos(k["d"])).alias("xi"), F.atanh(F.sin(k["d"]) / F.sqrt(1 + k["t"] * k["t"])).alias("eta"))
+
+    tan = _let(F.sin(p), lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s)))
+    return _let(_let(F.struct(tan.alias("t"), d.alias("d")), conformal), series)
 
 
 def xy_to_lonlat(x: Column, y: Column) -> Column:
     """struct(lon, lat): inverse of lonlat_to_xy."""
-    xi, eta = y / (K0 * _R), (x - EAST) / (K0 * _R)
-    u, v = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        v = v - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(u) / F.cosh(v))
-    lat = chi
-    for j, d in enumerate(_DELTA, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return F.struct(F.degrees(F.atan2(F.sinh(v), F.cos(u)) + LON0).alias("lon"), F.degrees(lat).alias("lat"))
+
+    def unstretch(k: Column) -> Column:
+        xi, eta = k["xi"], k["eta"]
+        u, v = xi, eta
+        for j, b in enumerate(_BETA, 1):
+            u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            v = v - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return F.struct(u.alias("u"), v.alias("v"))
+
+    def sphere(k: Column) -> Column:
+        return F.struct(F.asin(F.sin(k["u"]) / F.cosh(k["v"])).alias("chi"), F.degrees(F.atan2(F.sinh(k["v"]), F.cos(k["u"])) + LON0).alias("lon"))
+
+    def geodetic(k: Column) -> Column:
+        lat = k["chi"]
+        for j, d in enumerate(_DELTA, 1):
+            lat = lat + d * F.sin(2 * j * k["chi"])
+        return F.struct(k["lon"].alias("lon"), F.degrees(lat).alias("lat"))
+
+    start = F.struct((y / (K0 * _R)).alias("xi"), ((x - EAST) / (K0 * _R)).alias("eta"))
+    return _let(_let(_let(start, unstretch), sphere), geodetic)
 
 
 def lonlat_to_tile(lon: Column, lat: Column, z: int) -> Column:

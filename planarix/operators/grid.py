@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planarix import storage
 from planarix.functions import geometry as G
 from planarix.functions import projection as P
 from planarix.operators import spatial_join as J
@@ -51,7 +52,8 @@ def rect_grid(df: DataFrame, resolution: tuple[int, int] = (256, 256), overlap:
         b = G.with_bounds(df).select("minx", "miny", "maxx", "maxy")
         line = b.select(F.explode(span("miny", "maxy", y0, stride[0], h, rows)).alias("row"), "minx", "maxx").select("row", F.explode(span("minx", "maxx", x0, stride[1], w, cols)).alias("col")).distinct()
     cells = _cells(line, x0, y0, stride[1], stride[0], w, h, cols)
-    if full:
+    boxes = G.with_bounds(df).agg(F.bool_and(G.is_box(F.col("geometry")))).first()[0]
+    if full or (predicate == "intersects" and boxes):  # a rectangle meets every cell that its bounds reach
         return cells
     hits = J.predicate_pairs(df.select(F.col(id_col).alias("__o"), "geometry"), cells, predicate, left_id="__o", right_id="cell_id")
     return cells.join(hits.select("cell_id").distinct(), "cell_id", "left_semi")
@@ -116,6 +118,8 @@ def grid_aggregate(grid: DataFrame, objs: DataFrame, metrics: dict[str, Column]
     """
     if predicate not in ("intersects", "within", "contains", "contains_properly"):
         raise ValueError(f"predicate must be one of intersects, within, contains, contains_properly; got {predicate!r}")
+    if not hasattr(grid, "_shared_path"):  # it is read several times
+        grid = storage.materialise(grid, "grid")
     pairs = J.predicate_pairs(grid, objs, predicate, left_id="cell_id", right_id=id_col)
     if callable(metrics):
         if not schema:

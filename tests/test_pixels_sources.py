@@ -32,6 +32,14 @@ def test_raster_kernels():
     assert raster.dilate(m).sum() > m.sum() > raster.erode(m).sum()
 
 
+def test_tissue_mask_and_spots():
+    image = np.full((80, 80, 3), 240, np.uint8)
+    image[10:30, 10:30] = image[50:70, 45:75] = 60
+    t, m = raster.tissue_mask(image)
+    assert 60 < t < 240 and abs(m.sum() - 1000) < 150
+    assert [s[:2] for s in raster.spots(m)] == sorted(s[:2] for s in raster.spots(m)) and len(raster.spots(m)) == 2
+
+
 def test_glcm_by_hand():
     g = np.array([[0, 0, 1], [1, 2, 2]])
     c = raster.glcm(g, 1, 0.0, 3)
@@ -102,7 +110,7 @@ def test_tile_source_and_pipeline(spark, tmp_path, image):
     assert one.count() == 4 and (rasterise.tile_array(one.where("tile_id = 3").first()) == image[64:, 64:]).all()
     masks = one.select("tile_id", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("dtype"))
     got = rasterise.tile_features(one, masks, lambda img, label, mask: pd.Series({"mean": float(img.mean())}), "mean double")
-    assert got.count() == 4
+    assert got.count() == 4 and [len(b) for b in rasterise.iterate(one, 3)] == [3, 1]
     for bad in (lambda img: None, lambda img, label, mask: 1):
         with pytest.raises(ValueError):
             rasterise.tile_features(one, masks, bad, "mean double")
