@@ -19,6 +19,8 @@ from planarix import storage
 
 #: Bytes of text that one vectorised step holds, unless a single text is longer.
 STEP_BYTES = 1 << 20
+#: Rows of a batch that are turned into Python objects together.
+STEP_ROWS = 1024
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -37,14 +39,19 @@ def with_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch],
     names = kept + [f.name for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = compute(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
+        for batch in steps(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + compute(batch), names=names)
 
     return storage.spread(df).mapInArrow(run, schema)
 
 
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of STEP_ROWS, which bounds the Python objects alive at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(start, STEP_ROWS)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -25,7 +25,7 @@ from planarix import storage
 from planarix.llm import arrow
 
 #: Bytes that a trie may hold before it spills (or, before the shuffle, is passed on).
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 48 << 20
 _NODE = 240  # bytes that a node takes besides its label
 
 
@@ -178,7 +178,7 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
         for item in trie.items():
             some.append(item)
             held += len(item[0])
-            if len(some) >= 4096 or held > (8 << 20):
+            if len(some) >= 4096 or held > (2 << 20):
                 yield make(some)
                 some, held = [], 0
         if some:
@@ -186,7 +186,7 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(limit, largest)
-        for batch in batches:
+        for batch in arrow.steps(batches):
             for ident, text in zip(batch.column(0).to_pylist(), arrow.texts(batch.column(1)), strict=True):
                 trie.insert(text.lower(), ident)  # bytes.lower() touches A-Z only
                 if trie.full():
@@ -206,7 +206,7 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(limit, largest)
-        for batch in batches:
+        for batch in arrow.steps(batches):
             for key, best, n in zip(*(arrow.column(batch, c).to_pylist() for c in ("body", "best", "n")), strict=True):
                 trie.insert(key, best, n)
                 if trie.full():

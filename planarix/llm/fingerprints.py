@@ -160,7 +160,7 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (part, id, text, sketch) of the row that waits for its next
-        for batch in batches:
+        for batch in arrow.steps(batches):
             part, guest, ids, bodies = (arrow.column(batch, c) for c in ("part", "guest", "id", "body"))
             id_type, body_list = ids.type, bodies.to_pylist()
             own = sketches(bodies, k, shingle)

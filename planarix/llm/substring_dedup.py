@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_dest, places = None, {}
-        for batch in batches:
+        for batch in arrow.steps(batches):
             kinds = arrow.column(batch, "kind").to_numpy(zero_copy_only=False)
             dest = arrow.column(batch, "dest").to_numpy(zero_copy_only=False)
             blocks = arrow.column(batch, "block")

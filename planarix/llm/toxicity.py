@@ -93,13 +93,13 @@ def _segments(toxic: list[str], ordinary: list[str], budget: int) -> list[bytes]
     def spread(docs: list[str], only: dict | None) -> dict[str, int]:
         """For each segment the smaller of its documents and its neighbourhoods."""
         inside: dict[str, set[int]] = defaultdict(set)  # of whole words
-        around: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        around: dict[str, set[int]] = defaultdict(set)
         for number, text in enumerate(docs):
             words = ["", *_SPLIT.findall(text.lower()), ""]
             for before, w, after in zip(words, words[1:], words[2:], strict=False):
-                if len(w) > 2:
+                if len(w) > 2 and (only is None or any(w[:n] in only for n in range(3, min(len(w), 12) + 1))):
                     inside[w].add(number)
-                    around[w].add((before, after))
+                    around[w].add(hash((before, after)))
         of: dict[str, list[str]] = defaultdict(list)
         for w in inside:
             for n in range(3, min(len(w), 12) + 1):
@@ -183,7 +183,7 @@ def train(toxic: list[str], ordinary: list[str], prior: float, window: int = 8,
     return best[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, max_bytes: int = 65536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, max_bytes: int = 65536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model:
     """Train from labelled rows, at most `per_class` of each class, in hash order of their ids."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
