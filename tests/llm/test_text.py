@@ -46,6 +46,9 @@ def test_bpe_random_strings(library, monkeypatch):
         t = "".join(rnd.choice("aeiotnsrlhd  'st1é\n") if rnd.random() < 0.9 else chr(rnd.randrange(0x20, 0x2FFF)) for _ in range(rnd.randrange(0, 60)))
         t = t.encode("utf-8", "ignore").decode()
         assert np.frombuffer(codec.encode(t), "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
+    for start in (0x558, 0x88F, 0xA7CE, 0x12550, 0x18D09, 0x323B0, 0x1E6F0, 0x4E00, 0x1F600):
+        t = "".join(f"a{chr(c)}{chr(c)}1 {chr(c)}'s " for c in range(start, start + 8))
+        assert np.frombuffer(codec.encode(t), "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
     assert codec.decode([0, 50256]) == library.decode([0, 50256], skip_special_tokens=False)
 
 
