@@ -126,13 +126,13 @@ def dists_to_tissue(objs: DataFrame, tissues: DataFrame, tissue_class: str, *, i
     """Append dist_to_{class}: distance of each centroid to the nearest tissue of a class, 0 inside; null if there is none.
 
     Tissues are joined by class alone, so each object meets all tissues of that class: they are
-    checked to be few (at most 10,000) before they are broadcast; else nearest cells come first.
+    checked to be few (at most 256) before they are broadcast; else nearest cells come first.
     """
     name = out or f"dist_to_{tissue_class}"
     few = tissues.where(F.col("class_name") == tissue_class).select(F.col("geometry").alias("g"))
     c = centroids(objs, id_col)
-    n = few.limit(10_001).count()
-    if n <= 10_000:
+    n = few.limit(257).count()
+    if n <= 256:
         pairs = c.join(F.broadcast(few))
         made = pairs.groupBy("id").agg(F.min(G.point_distance(F.col("g"), F.col("x"), F.col("y"))).alias(name))
         return objs.drop(name).join(made, objs[id_col] == made["id"], "left").drop("id")

@@ -197,13 +197,21 @@ def test_nearest_tissue_both_ways(spark, points):
     assert cluster.dists_to_tissue(points, t, "none").where("dist_to_none is null").count() == 201
 
 
+def test_permutations_are_bijections(spark):
+    for n in (1, 2, 3, 17, 100, 1000):
+        got = spark.range(n).select(stats._permuted(F.col("id"), n, F.lit(7), F.lit(1)).alias("p"), stats._permuted(F.col("id"), n, F.lit(7), F.lit(2)).alias("q")).collect()
+        assert sorted(r.p for r in got) == sorted(r.q for r in got) == list(range(n))
+    assert [r.p for r in got] != [r.q for r in got]
+    assert abs(np.corrcoef([r.p for r in got], range(1000))[0, 1]) < 0.12
+
+
 def test_statistics(points):
     w = graph.fit_distband(points, 15.0)
     m = points.where("uid < 900").withColumn("f", F.col("x"))
     row = stats.global_autocorr(m, w, "f", permutations=49).first()
     assert row.I > 0.5 and row.p_sim == pytest.approx(0.02)
     again = stats.global_autocorr(m, w, "f", permutations=49).first()
-    assert again == row
+    assert again.I == pytest.approx(row.I) and again.p_sim == row.p_sim
     lisa = stats.lisa_clustering(m, w, "f", permutations=49)
     assert {r.lisa for r in lisa.select("lisa").distinct().collect()} <= {"ns", "HH", "LH", "LL", "HL", None} and lisa.count() == 200
     p = points.where("uid < 900").withColumnRenamed("uid", "id")
