@@ -41,6 +41,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows evenly where there are fewer partitions than cores, as with one small file; else nothing."""
+    """Deal out rows evenly where a scan has fewer partitions than cores, as with one small file; else nothing.
+
+    Plans with an exchange are left alone: their partitions are the session's choice, and counting
+    them would run the stages below.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df if "Exchange" in plan or df.rdd.getNumPartitions() >= cores else df.repartition(cores)

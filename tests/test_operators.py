@@ -78,7 +78,7 @@ def test_graph_arguments(points):
 
 def test_neighbourhoods_keep_islands(points):
     w = graph.fit_distband(points, 12.0)
-    out = nhood.local_character(points, w, "v", ("sum", "mean", "wmean") if False else ("sum", "mean"), normalize=True)
+    out = nhood.local_character(points, w, "v", ("sum", "mean"), normalize=True)
     assert out.count() == 201 and set(out.columns) >= {"v_nhood_sum", "v_nhood_mean"}
     lim = out.agg(F.min("v_nhood_sum"), F.max("v_nhood_sum"), F.max("v_nhood_mean")).first()
     assert 0 <= lim[0] and lim[1] <= 1 and lim[2] <= 1
