@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planarix import storage
 from planarix.functions import geometry as G
 from planarix.kernels import triangulation
 from planarix.operators import spatial_join as J
@@ -136,19 +137,33 @@ def clustering_coefficient(nodes: DataFrame, w: DataFrame, id_col: str = "uid")
     return out.select(F.col("id").alias(id_col), coef.alias("clustering"))
 
 
-def eigenvector_centrality(nodes: DataFrame, w: DataFrame, id_col: str = "uid", rounds: int = 20) -> DataFrame:
-    """Power iteration on A + I from equal values, one join and aggregate a round, scaled to length 1."""
+def eigenvector_centrality(nodes: DataFrame, w: DataFrame, id_col: str = "uid", rounds: int = 5000, tol: float = 1e-8) -> DataFrame:
+    """Power iteration on A + I from equal values, scaled to length 1, until a round changes the values by less than `tol` a node in sum.
+
+    Ten rounds are written as one state. Raises if the values haven't settled after `rounds` rounds.
+    """
     from planarix.operators.components import cut_lineage
 
-    v = nodes.select(F.col(id_col).alias("id"), F.lit(1.0).alias("v"))
+    v = cut_lineage(nodes.select(F.col(id_col).alias("id"), F.lit(1.0).alias("v")))
     e = cut_lineage(w.where("focal <> neighbor").select("focal", "neighbor").distinct())
-    for n in range(rounds):
-        v = e.join(v.withColumnRenamed("id", "neighbor"), "neighbor").select(F.col("focal").alias("id"), "v").unionAll(v).groupBy("id").agg(F.sum("v").alias("v"))
-        if n % 5 == 4 or n == rounds - 1:  # values can't overflow in between
-            v = cut_lineage(v)
-            norm = v.agg(F.sqrt(F.sum(F.pow("v", 2)))).first()[0] or 1.0
-            v = v.select("id", (F.col("v") / F.lit(float(norm))).alias("v"))
-    return v.select(F.col("id").alias(id_col), F.col("v").alias("eigenvector"))
+    n = v.count()
+    step = lambda v: e.join(v.withColumnRenamed("id", "neighbor"), "neighbor").select(F.col("focal").alias("id"), "v").unionAll(v).groupBy("id").agg(F.sum("v").alias("v"))
+    for _ in range(0, rounds, 10):
+        last = v
+        for _ in range(9):  # values can't overflow in between
+            last = step(last)
+        last = storage.materialise(last, "state")
+        now = storage.materialise(step(last), "state")
+        a, b = (float(x.agg(F.sqrt(F.sum(F.pow("v", 2)))).first()[0] or 1.0) for x in (last, now))
+        both = last.withColumnRenamed("v", "u").join(now, "id")
+        moved = both.agg(F.sum(F.abs(F.col("v") / F.lit(b) - F.col("u") / F.lit(a)))).first()[0] or 0.0
+        storage.release(last)
+        storage.release(v)
+        v = storage.materialise(now.select("id", (F.col("v") / F.lit(b)).alias("v")), "state")
+        storage.release(now)
+        if moved < n * tol or not n:
+            return v.select(F.col("id").alias(id_col), F.col("v").alias("eigenvector"))
+    raise RuntimeError(f"eigenvector centrality did not settle in {rounds} rounds")
 
 
 def path_centralities(w: DataFrame, components: DataFrame) -> DataFrame:
