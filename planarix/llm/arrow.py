@@ -7,6 +7,7 @@ between rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ STEP_BYTES = 1 << 20
 #: Rows of a batch that are turned into Python objects together.
 STEP_ROWS = 1024
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def with_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list], keep: list[str] | None = None) -> DataFrame:
@@ -90,7 +91,7 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~_SPACE[raw]
+    word = ~SPACE[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
     before = np.empty(n, dtype=bool)
@@ -107,6 +108,15 @@ _MUL = 0x9E3779B97F4A7C15
 _ONE = np.uint64(1)
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijective finaliser of 64-bit values."""
+    h = h ^ (h >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 class _Powers:
     """Powers of an odd base modulo 2^64 and of its inverse, grown on demand."""
 
@@ -121,34 +131,51 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _A, _B = _Powers(0xD6E8FEB86659FD93), _Powers(0xC2B2AE3D27D4EB4F), _Powers(0xFF51AFD7ED558CCD)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective finaliser of 64-bit values."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _windows(values: np.ndarray, powers: _Powers, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[first:last] for each window."""
-    up, down = powers.upto(len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return (sums[last] - sums[first]) * down[first]
+_POWERS = _Powers(0xC2B2AE3D27D4EB4F)
+#: Longest word that the table below hashes.
+_LONG = 64
+#: One random value for each place in a word and byte there.
+_TABLE = mix(np.arange(1, _LONG * 256 + 1, dtype=np.uint64) * np.uint64(_MUL))
+#: Windows that one vectorised step hashes.
+_STEP_WINDOWS = 1 << 17
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    return mix(_windows(raw.astype(np.uint64) + _ONE, _BYTES, starts, ends) ^ ((ends - starts).astype(np.uint64) * np.uint64(_MUL)))
-
+    """64-bit hash of each word: the sum of a random value for each byte and its place; BLAKE2b for words over _LONG bytes.
 
-def window_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray, second: bool = False) -> np.ndarray:
-    """64-bit hash of the word sequence words[first:last]; `second` gives an independent one."""
-    with np.errstate(over="ignore"):
-        return mix(_windows(words, _B if second else _A, first, last) + (last - first).astype(np.uint64) * np.uint64(_MUL))
+    Long texts are worked through in steps.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, "right")))
+        first, last = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        some = raw[starts[i] : ends[j - 1]]
+        if j > i + 1 or len(some) <= _LONG:
+            place = np.arange(len(some), dtype=np.int32)
+            place -= np.repeat(first.astype(np.int32), np.diff(first, append=len(some)))
+            np.minimum(place, _LONG - 1, out=place)
+            place <<= 8
+            place |= some
+            sums = np.empty(len(some) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(_TABLE[place], out=sums[1:])
+            out[i:j] = sums[last] - sums[first]
+        for k in np.flatnonzero(last - first > _LONG).tolist():
+            out[i + k] = int.from_bytes(hashlib.blake2b(some[first[k] : last[k]].tobytes(), digest_size=8).digest(), "little")
+        i = j
+    return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(_MUL)))
+
+
+def window_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of the word sequences words[first:last], whose bounds ascend."""
+    out = np.empty(len(first), np.uint64)
+    for i in range(0, len(first), _STEP_WINDOWS):
+        j = min(len(first), i + _STEP_WINDOWS)
+        a, b = first[i], last[j - 1]
+        up, down = _POWERS.upto(int(b - a) + 1)
+        sums = np.empty(b - a + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(words[a:b] * up[: b - a], out=sums[1:])
+        out[i:j] = (sums[last[i:j] - a] - sums[first[i:j] - a]) * down[first[i:j] - a]
+    return mix(out + (last - first).astype(np.uint64) * np.uint64(_MUL))

@@ -1,23 +1,31 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text. The *ordinary* one holds the
-segments that zstandard's trainer picks from ordinary text. The *toxic* one holds what
-toxic text is made of: the same ordinary prose plus the segments that recur in toxic text,
-in many contexts, and hardly in ordinary text. A window of words is compressed with either
-dictionary; the bytes that the toxic dictionary saves are its compression distance. Since
-both share the ordinary part at equal offsets, an ordinary window comes out equally long.
-A document's evidence is the gain of its windows above a threshold; a logistic curve fitted
-on documents that the dictionaries never saw turns it into a probability.
+Two dictionaries are made from labelled text. The *ordinary* one holds the segments that
+zstandard's trainer picks from ordinary text. The *toxic* one is the same dictionary with what marks
+toxic text in front: segments that recur in it, in many contexts, and hardly in ordinary text. A
+window of words is compressed with either dictionary; the bytes that the toxic dictionary
+saves are its compression distance. Since both share the ordinary part at equal offsets, an
+ordinary window comes out equally long. A document's evidence is the gain of its windows above
+a threshold; a logistic curve fitted on documents that the dictionaries never saw turns it into
+a probability.
+
+The toxic part isn't picked by zstandard's trainer: that goes by frequency alone, so most of
+what it takes from toxic text is ordinary, and windows differ by chance more than by
+toxicity. The README has the figures of two trained dictionaries.
 
 Fitting reads at most `per_class` labelled rows of each class, of at most `max_bytes` each
-(documented bounds; both classes by hash order). Scoring reads every whole text.
+(documented bounds; both classes by hash order). Scoring reads every whole text, all of its
+characters but white space.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +35,8 @@ from pyspark.sql import functions as F
 
 from planarix.llm import arrow
 
-_SPLIT = re.compile(r"[^\W_]+")
+#: Words, and runs of other characters.
+_SPLIT = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 
 @dataclass(frozen=True)
@@ -45,9 +54,16 @@ class Model:
     bias: float
 
 
-def _windows(text: str, size: int) -> list[bytes]:
-    words = _SPLIT.findall(text.lower())
-    return [f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
+def _windows(text: str, size: int) -> Iterator[bytes]:
+    """Windows of `size` words, lower-cased; a long text's words aren't all held at once."""
+    text = text.lower()
+    if len(text) <= 1 << 20:
+        words = _SPLIT.findall(text)
+        yield from (f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size))
+        return
+    found = (m.group() for m in _SPLIT.finditer(text))
+    while some := list(islice(found, size)):
+        yield f" {' '.join(some)} ".encode()
 
 
 class Scorer:
@@ -184,17 +200,21 @@ def train(toxic: list[str], ordinary: list[str], prior: float, window: int = 8,
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, max_bytes: int = 65536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model:
-    """Train from labelled rows, at most `per_class` of each class, in hash order of their ids."""
+    """Train from labelled rows, at most `per_class` of each class, in hash order of their ids.
+
+    Labels other than 0 and 1, null identifiers and null texts are passed over; of rows that repeat an
+    identifier the smallest text counts.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64("id")
     picked = known.where("label = 1").orderBy(order, "id").limit(per_class).unionByName(known.where("label = 0").orderBy(order, "id").limit(per_class))
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(F.octet_length("body") <= max_bytes)
-        .join(F.broadcast(picked), "id").select("id", "label", "body").collect()
-    )  # fmt: skip  # at most 2 * per_class ids are broadcast, and as many bounded texts collected
+        .join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("body").alias("body")).collect()
+    )  # fmt: skip  # at most 2 * per_class ids are broadcast, and one bounded text for each collected
     texts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    for r in sorted(rows, key=lambda r: (hash((r["id"], 7)), r["body"])):
+    for r in sorted(rows, key=lambda r: (zlib.crc32(f"{r['id']} shuffled".encode()), r["body"])):
         texts[r["label"]].setdefault(r["body"], r["id"])
     total = sum(counts.values())
     return train(list(texts[1]), list(texts[0]), counts.get(1, 0) / total if total else 0.0, **options)
@@ -203,8 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, max_bytes:
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append `score` (double, 0 to 1) and `predicted` (1 if score >= 0.5) to every row.
 
-    Null and empty texts have no window and get the curve's value for no evidence.
-    Columns named score or predicted are replaced.
+    Null and empty texts have no window and get the curve's value for no evidence. Equal texts have
+    equal scores; long ones are worked through window by window. An empty table gives an
+    empty one. Columns named score or predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
 

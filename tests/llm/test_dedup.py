@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from planarix.llm import exact_dedup, simhash, substring_dedup
+from planarix.llm import arrow, exact_dedup, simhash, substring_dedup
 from tests.llm import cases
 
 
@@ -71,21 +71,47 @@ def plain_substring(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("size", "gram", "held"), [(35, 8, substring_dedup.HELD), (35, 8, 50), (5, 2, substring_dedup.HELD), (3, 3, 7)])
-def test_substring(spark, monkeypatch, size, gram, held):
-    monkeypatch.setattr(substring_dedup, "HELD", held)
-    got = substring_dedup.remove_repeats(cases.frame(spark), size=size, gram=gram)
+TIGHT = substring_dedup.Limits(block=3000, dest=9000, held=50, step=40, least_bits=4, range_bits=5)
+
+
+@pytest.mark.parametrize(("size", "gram", "limits"), [(35, 8, substring_dedup.LIMITS), (35, 8, TIGHT), (5, 2, substring_dedup.LIMITS), (3, 3, TIGHT)])
+def test_substring(spark, size, gram, limits):
+    got = substring_dedup.remove_repeats(cases.frame(spark), size=size, gram=gram, limits=limits)
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()), key=str) == plain_substring(cases.rows(), size)
 
 
-def test_substring_filter_only_saves_work(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "LEAST", 4)
-    monkeypatch.setattr(substring_dedup, "MOST", 4)  # a full sketch lets everything pass
-    got = substring_dedup.remove_repeats(cases.frame(spark, extra=True))
+def test_substring_filter_only_saves_work(spark):
+    full = substring_dedup.Limits(cells=0, least_bits=4, range_bits=2)  # sixteen cells a row let everything pass
+    got = substring_dedup.remove_repeats(cases.frame(spark, extra=True), limits=full)
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()), key=str) == plain_substring(cases.rows(), 35)
     assert substring_dedup.remove_repeats(cases.frame(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    """A word and its complement, which agree under every polynomial hash modulo 2**64 for n of 1024 and more."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [60, 1024, 4096])
+def test_substring_tells_words_apart(spark, n):
+    head = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{head} {w}", "en", "a", 1) for i, w in enumerate([*thue_morse(n), "other"])]
+    got = substring_dedup.remove_repeats(cases.frame(spark, rows), limits=substring_dedup.Limits(cells=0, least_bits=1, range_bits=1)).collect()
+    assert [r["n_removed"] for r in got] == [0, 0, 0]
+    both = np.frombuffer(" ".join(thue_morse(n)).encode(), np.uint8)
+    one, two = arrow.word_hashes(both, np.array([0, n + 1]), np.array([n, 2 * n + 1]))
+    assert one != two
+
+
+def test_substring_of_a_long_text(spark):
+    rnd = random.Random(4)
+    words = [f"v{rnd.randrange(10**6)}" for _ in range(300_000)]
+    words[200_000:200_050] = words[100:150]
+    got = substring_dedup.remove_repeats(cases.frame(spark, [(1, " ".join(words), "en", "a", 1), (2, "short", "en", "a", 1)]), limits=substring_dedup.Limits(step=7000)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 300_000, 100), (2, 1, 0)]
+
+
 def plain_fingerprint(text):
     words = lower(text).split()
     if not words:
