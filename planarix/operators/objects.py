@@ -6,25 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planarix import storage
 from planarix.functions import geometry as G
 from planarix.operators import spatial_join as J
 
 
-def set_uid(df: DataFrame, order_by: list[str], start: int = 0, id_col: str = "uid") -> DataFrame:
-    """Dense identifiers from `start` in a stated order, without a single-partition window.
+def _ranged(df: DataFrame, order_by: list[str], parts: int | None = None) -> tuple[DataFrame, str]:
+    """Rows in range partitions and sorted, written once with a place (partition, then row) in the column returned.
 
-    Rows are range-partitioned and sorted; each partition's offset is the count before it (one number a
-    partition comes to the driver).
+    Range bounds are sampled anew in every run of a plan, so counts and rows must come from one run.
     """
-    part = df.drop(id_col).repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__p", F.spark_partition_id())
-    part = part.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order_by)))
-    counts = sorted((r["__p"], r["count"]) for r in part.groupBy("__p").count().collect())
-    before, total = [], start
-    for p, n in counts:
+    place = "__place"
+    ranged = (df.repartitionByRange(parts, *order_by) if parts else df.repartitionByRange(*order_by)).sortWithinPartitions(*order_by)
+    return storage.materialise(ranged.withColumn(place, F.monotonically_increasing_id()), "ranged"), place
+
+
+def _before(rows: DataFrame, part: str, n: Column, start: int = 0) -> tuple[DataFrame, int]:
+    """(part, __o): the sum of `n` before each partition, one row a partition; and the sum over all."""
+    total, before = start, []
+    for p, c in sorted((r[part], r["c"]) for r in rows.groupBy(part).agg(F.sum(n).alias("c")).collect()):
         before.append((p, total))
-        total += n
-    offsets = df.sparkSession.createDataFrame(before or [(0, start)], "__p int, __o long")
-    return part.join(F.broadcast(offsets), "__p").withColumn(id_col, F.col("__o") + F.col("__n") - 1).drop("__p", "__n", "__o")
+        total += c
+    return rows.sparkSession.createDataFrame(before or [(0, start)], f"{part} long, __o long"), total
+
+
+def set_uid(df: DataFrame, order_by: list[str], start: int = 0, id_col: str = "uid") -> DataFrame:
+    """Dense identifiers from `start` in a stated order, without a single-partition window; ties are numbered in any order.
+
+    Rows are range-partitioned, sorted and written once; a partition's offset is the count before it
+    (one number a partition comes to the driver).
+    """
+    rows, place = _ranged(df.drop(id_col), order_by)
+    rows = rows.withColumn("__p", F.shiftright(place, 33)).withColumn("__n", F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
+    offsets, _ = _before(rows, "__p", F.lit(1), start)
+    return rows.join(F.broadcast(offsets), "__p").withColumn(id_col, F.col("__o") + F.col("__n")).drop("__p", "__n", "__o", place)
 
 
 def is_categorical(df: DataFrame, col: str) -> bool:
@@ -40,8 +55,8 @@ def centroids(df: DataFrame, id_col: str = "uid", geom: str = "geometry") -> Dat
 
 def drop_duplicate_geometries(df: DataFrame, id_col: str = "uid") -> DataFrame:
     """Of equal geometries the one with the smallest id."""
-    line = Window.partitionBy(F.hash("geometry"), "geometry").orderBy(id_col)
-    return df.withColumn("__n", F.row_number().over(line)).where("__n = 1").drop("__n")
+    kept = df.groupBy("geometry").agg(F.min_by(F.struct(*[c for c in df.columns if c != "geometry"]), F.col(id_col)).alias("__first"))
+    return kept.select(*["geometry" if c == "geometry" else F.col("__first")[c].alias(c) for c in df.columns])
 
 
 def get_objs(area: DataFrame, objects: DataFrame, predicate: str = "intersects", *, id_col: str = "uid", distance: float = 0.0) -> DataFrame:
@@ -60,8 +75,8 @@ def interface_members(area1: DataFrame, area2: DataFrame, objects: DataFrame, bu
 def col_norm(df: DataFrame, col: str, method: str = "quantile", out: str | None = None, parts: int | None = None) -> DataFrame:
     """Normalise a column to [0, 1] by average rank or by min-max (all equal gives 0; one row gives null ranks).
 
-    Ranks need no global window: equal values are counted, values are range-partitioned, and a
-    partition's offset is the sum before it.
+    Ranks need no global window: equal values are counted, values are range-partitioned and written
+    once, and a partition's offset is the sum before it.
     """
     out = out or col
     if method == "minmax":
@@ -72,14 +87,10 @@ def col_norm(df: DataFrame, col: str, method: str = "quantile", out: str | None
     if method != "quantile":
         raise ValueError(f"method must be 'quantile' or 'minmax', got {method!r}")
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__c"))
-    ranged = counts.repartitionByRange(parts, "__v") if parts else counts.repartitionByRange("__v")
-    part = ranged.withColumn("__p", F.spark_partition_id())
+    part, place = _ranged(counts, ["__v"], parts)
+    part = part.withColumn("__p", F.shiftright(place, 33))
+    offsets, total = _before(part, "__p", F.col("__c"))
     part = part.withColumn("__r", F.sum("__c").over(Window.partitionBy("__p").orderBy("__v")))
-    total, before = 0, []
-    for p, c in sorted((r["__p"], r["c"]) for r in part.groupBy("__p").agg(F.sum("__c").alias("c")).collect()):
-        before.append((p, total))
-        total += c
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "__p int, __o long")
     rank = F.col("__o") + F.col("__r") - (F.col("__c") - 1) / F.lit(2).cast("double")
     value = F.when(F.lit(total) > 1, (rank - 1) / F.lit(max(1, total - 1)))
     ranks = part.join(F.broadcast(offsets), "__p").select("__v", value.alias("__q"))
@@ -87,13 +98,12 @@ def col_norm(df: DataFrame, col: str, method: str = "quantile", out: str | None
     return joined.withColumn(out, F.col("__q")).drop("__v", "__q")
 
 
-def gdf_apply(df: DataFrame, expr, columns: list[str], out: str = "value", return_type: str = "double") -> DataFrame:
-    """Append expr(*columns): a Column builder, or a function of pandas Series run as an Arrow-batched UDF."""
+def gdf_apply(df: DataFrame, expr, columns: list[str], out: str = "value", return_type: str = "double", batched: bool = False) -> DataFrame:
+    """Append expr(*columns): a Column builder or, if `batched`, a function of pandas Series run as an Arrow-batched UDF."""
     cols = [F.col(c) for c in columns]
-    try:
-        made = expr(*cols)
-    except Exception:  # not an expression builder
-        made = None
+    if batched:
+        return df.withColumn(out, F.pandas_udf(expr, return_type)(*cols))
+    made = expr(*cols)
     if not isinstance(made, Column):
-        made = F.pandas_udf(expr, return_type)(*cols)
+        raise TypeError("expr must return a Column; pass batched=True for a function of pandas Series")
     return df.withColumn(out, made)
