@@ -4,10 +4,14 @@ Candidates come from min-hash bands and are then decided on the whole shingle se
 link is exact. A pair of similarity s shares none of the 32 bands of 5 min-hashes with
 probability (1 - s^5)^32: 3e-6 at 0.8, less above.
 
-A bucket never yields all its pairs at once. Its members are first held against one of them, in
-two rounds with different ones; what these link is one component. Then only pairs across the
-components left in a bucket are tried one by one. Each has a member outside the bucket's largest
-component, so a large group of copies costs about its size.
+A bucket never yields all its pairs at once. In the buckets of a few bands every member is held
+against one of them; what these link is one component. Then, over all bands, the members of a bucket's
+smaller components are held against one of its largest, twice with different ones. Only then
+are pairs tried one by one, and only across the components left in a bucket: each has a member
+outside the largest one, so a large group of copies costs about its size.
+
+Shingle sets are made for the texts in shared buckets alone, from their texts; signatures of all texts
+are written, sets aren't.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from planarix.llm import arrow
 from planarix.operators.components import components
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 32, 5
+#: Bands whose buckets are tried first.
+FEW = 4
 _SEEDS = arrow.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 _FACTOR, _ADD = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,59 +68,79 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def _node(sets: list[np.ndarray]) -> np.ndarray:
+    """One number for each different set."""
+    return np.array([arrow.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+
+
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, t, node, n, shingles, keys): texts of equal shingle sets are one node; node 0 has no words."""
+    """(id, t, node, n, keys): texts of equal shingle sets are one node; node 0 has no words and no keys."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = shingle_sets(arrow.column(batch, "body"), shingle)
-        node = np.array([arrow.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         some = [s for s in sets if len(s)]
         keys = band_keys(some).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
         ends = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)])
-        return [
-            pa.array(node),
-            pa.array([len(s) for s in sets], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for s in sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))),
-            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel())),
-        ]
+        return [pa.array(_node(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))]
+
+    return arrow.with_columns(docs, "node bigint, n bigint, keys array<bigint>", compute, ["id", "t"])
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of texts (body)."""
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        sets = shingle_sets(arrow.column(batch, "body"), shingle)
+        ends = np.cumsum([0, *map(len, sets)])
+        return [pa.array(_node(sets)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))]
 
-    return arrow.with_columns(docs, "node bigint, n bigint, shingles array<bigint>, keys array<bigint>", compute, ["id", "t"])
+    return arrow.with_columns(docs, "node bigint, shingles array<bigint>", compute, [])
 
 
 def _decide(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are at least so similar. Sets have one row a node, so a hot member splits in the join."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = storage.materialise(sets.select("node", "shingles").join(used.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    one, two = (some.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     joined = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     return joined.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, component) of the nodes (node, n, shingles, keys) that have another within `least`; component is the smallest node reachable."""
-    keyed = sets.select("node", "n", F.explode("keys").alias("key"))
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, n): members of the buckets that two nodes (node, n, keys) share."""
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = storage.materialise(keyed.join(shared.hint("merge"), "key").distinct(), "buckets")
+    return keyed.join(shared.hint("merge"), "key")
+
+
+def links(members: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, component) of the nodes in buckets that have another within `least`; component is the smallest node reachable.
+
+    `members` is what `buckets` gives; `sets` has (node, shingles) of the same nodes, one row each.
+    """
     close = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     tried = found = placed = None
-    for turn in range(3):
-        now = members.withColumn("component", F.col("node")) if placed is None else members.join(placed.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn:
+    for turn in range(4):
+        if placed is None:
+            now = members.where(F.col("band") < FEW).withColumn("component", F.col("node"))
+        else:
+            now = members.join(placed.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
             open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
             now = storage.materialise(now.join(open_.hint("merge"), "key"), "open")
-        if turn < 2:
-            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("l"))
-            other = lead.select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"), F.col("l.component").alias("its"))
-            pairs = now.join(other.hint("merge"), "key")
-        else:  # all pairs across components have a member outside the bucket's largest component
+            if now.isEmpty():
+                storage.release(now)
+                break
             sizes = now.groupBy("key", "component").agg(F.count("*").alias("c"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("l")).select("key", F.col("l.component").alias("big"))
-            rest = now.join(largest.hint("merge"), "key").where("component <> big").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
-            pairs = now.join(rest.hint("merge"), "key")
-        pairs = pairs.where((F.col("component") != F.col("its")) & close).select(*pair).distinct()
+            now = now.join(largest.hint("merge"), "key")
+        if turn < 3:  # against one of the bucket or, once components are known, of its largest
+            leader = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")
+            lead = now.where("component = big") if turn else now
+            lead = lead.groupBy("key").agg(F.min(leader).alias("l"))
+            other = lead.select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"), F.col("l.component").alias("its"))
+        else:  # all pairs across components have a member outside the bucket's largest
+            other = now.where("component <> big").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
+        pairs = now.join(other.hint("merge"), "key").where((F.col("component") != F.col("its")) & close).select(*pair).distinct()
         pairs = storage.materialise(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         new = storage.materialise(_decide(pairs, sets, least), "links")
@@ -126,19 +152,28 @@ def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Append `component_id`, the smallest identifier reachable over links, the row's own included.
 
-    Texts without words are linked to each other only. Null identifiers are the smallest only where
-    no other is there. Rows that repeat identifier and text share their component. A column
-    named component_id is replaced.
+    Texts without words (null, empty or white space) are linked to each other only. Null identifiers
+    are the smallest only where no other is there. Rows that repeat identifier and text share
+    their component. Long texts are worked through in steps. An empty table gives an empty one. A
+    column named component_id is replaced.
     """
     base = docs.drop("component_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = storage.materialise(_prints(base.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("body")), shingle), "shingles")
-    placed = links(slim.select("node", "n", "shingles", "keys"), least)
+    plain = base.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("body"))
+    slim = storage.materialise(_prints(plain, shingle), "signatures")
+    members = storage.materialise(buckets(slim.select("node", "n", "keys").dropDuplicates(["node"])), "buckets")
+    used = members.select("node").distinct()
+    first_row = slim.join(used.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "t")).alias("r")).select(F.col("r.id").alias("i"), F.col("r.t").alias("u"))
+    bodies = plain.join(first_row, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left_semi").select("body")
+    sets = storage.materialise(_sets(bodies, shingle).dropDuplicates(["node"]), "sets")
+    placed = links(members, sets, least)
     first = slim.groupBy("node").agg(F.min("id").alias("first"))
     grouped = first.join(placed.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("__component"))
-    classes = storage.materialise(grouped.join(smallest.hint("merge"), "component").select("node", "__component"), "classes")
-    once = slim.select(F.col("id").alias("__id"), F.col("t").alias("__t"), "node").join(classes.hint("merge"), "node").drop("node").distinct()
+    classes = grouped.join(smallest.hint("merge"), "component").select("node", "__component")
+    # only rows whose component isn't their own identifier are joined on: few, as a rule
+    other = slim.select(F.col("id").alias("__id"), F.col("t").alias("__t"), "node").join(classes.hint("merge"), "node").where("not __id <=> __component").drop("node").distinct()
+    other = storage.materialise(other, "classes")
     rows = base.withColumn("__key", F.xxhash64(text))
-    joined = rows.join(once.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__t")))
-    return joined.select(*base.columns, F.col("__component").alias("component_id"))
+    joined = rows.join(other, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__t")), "left")
+    return joined.select(*base.columns, F.coalesce("__component", F.col(id_col)).alias("component_id"))

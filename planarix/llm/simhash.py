@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planarix import storage
-from planarix.llm import arrow
+from planarix.llm import arrow, resemblance
 from planarix.operators.components import components
 
 #: Buckets up to this size are compared blockwise, larger ones by neighbour look-up.
@@ -151,9 +151,13 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """Append `fp` and `component_id` to every row.
 
+    With `similarity`, texts are linked by that Jaccard similarity of their shingle sets instead, and
+    only component_id is appended: fingerprints of texts 0.8 alike differ in ten bits as a rule, and covering
+    ten bits takes 2047 tables, so `resemblance` finds these links (see the README).
+
     Documents are linked when their fingerprints differ in `radius` bits at most; component_id is
     the smallest identifier reachable, the row's own included. Texts without words have
     fingerprint zero and are linked like any other. Null identifiers are never the smallest
@@ -164,6 +168,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the text, by which rows find their class again; joins on the fingerprint, which may be hot, have one
     row for each fingerprint on their other side.
     """
+    if similarity is not None:
+        return resemblance.near_copies(docs, id_col=id_col, text_col=text_col, shingle=shingle, least=similarity)
     base = docs.drop("fp", "component_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = fingerprints(base.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("body")), text_col="body", shingle=shingle, keep=["id", "t"])
