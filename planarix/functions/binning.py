@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planarix.storage import ranged
+
 SCHEMES = (
     "boxplot", "equalinterval", "fisherjenks", "fisherjenkssampled", "headtailbreaks", "jenkscaspall", "jenkscaspallforced", "jenkscaspallsampled",
     "maxp", "maximumbreaks", "naturalbreaks", "percentiles", "prettybreaks", "quantiles", "stdmean", "userdefined",
 )
-#: Distinct values that optimal one-dimensional schemes see; beyond, that many quantiles stand in.
-DISTINCT = 1000
+#: Schemes that go by a sample: quantiles of the rows, as many as the caller says.
+SAMPLED = {"fisherjenkssampled": "fisherjenks", "jenkscaspallsampled": "jenkscaspall"}
 
 
 def bin_index(v: Column, bounds: list[float]) -> Column:
@@ -23,29 +25,104 @@ def bin_index(v: Column, bounds: list[float]) -> Column:
 
 
 def fisher_jenks(values: np.ndarray, counts: np.ndarray, k: int) -> list[float]:
-    """Bounds of the k classes of least squared deviation, by dynamic programming over distinct values."""
+    """Bounds of the k classes of least squared deviation, over distinct ascending values with counts.
+
+    The best last cut moves right with the number of values, so a layer of the dynamic programme is
+    halved again and again: k n log n steps, each level at once.
+    """
     n, k = len(values), min(k, len(values))
-    w, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (counts, counts * values, counts * values**2))
+    centred = values - values.mean()
+    w, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (counts, counts * centred, counts * centred**2))
     cost = lambda i, j: q[j] - q[i] - (s[j] - s[i]) ** 2 / (w[j] - w[i])  # noqa: E731  values[i:j]
-    best = np.array([np.inf] + [cost(0, j) for j in range(1, n + 1)])
-    back = np.zeros((k + 1, n + 1), int)
+    best = np.concatenate([[np.inf], cost(np.zeros(n, int), np.arange(1, n + 1))])
+    back = []
     for c in range(2, k + 1):
-        new = np.full(n + 1, np.inf)
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
-            t = best[i] + cost(i, j)
-            m = int(np.argmin(t))
-            new[j], back[c, j] = t[m], i[m]
+        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        # ranges of j that are still open, with the bounds of their best cuts
+        lo, hi, first, last = (np.array([v]) for v in (c, n, c - 1, n - 1))
+        while len(lo):
+            mid = (lo + hi) // 2
+            top = np.minimum(last, mid - 1)
+            size = top - first + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) - np.repeat(start - first, size)
+            t = best[i] + cost(i, np.repeat(mid, size))
+            least = np.minimum.reduceat(t, start)
+            at = np.flatnonzero(t == np.repeat(least, size))
+            at = at[np.searchsorted(at, start)]
+            new[mid], cut[mid] = least, i[at]
+            lo, hi, first, last = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (first, i[at]), (i[at], last)))
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         best = new
-    out, j = [], n
-    for c in range(k, 0, -1):
+        back.append(cut)
+    out, j = [float(values[n - 1])], n
+    for cut in reversed(back):
+        j = cut[j]
         out.append(float(values[j - 1]))
-        j = back[c, j]
     return out[::-1]
 
 
-def classify(df: DataFrame, col: str, scheme: str = "fisherjenks", k: int = 5, bounds: list[float] | None = None) -> list[float]:
-    """Upper bounds of the bins of a numeric column. Aggregates decide; optimal schemes see at most DISTINCT values with counts."""
+def jenks_caspall(values: np.ndarray, counts: np.ndarray, k: int, forced: bool = False) -> list[float]:
+    """Bounds of classes whose values lie nearest to their own class's median, starting from quantiles.
+
+    With `forced`, single values then move over a bound as long as that lowers the summed absolute
+    deviation from the medians.
+    """
+    n, total = len(values), np.concatenate([[0.0], np.cumsum(counts)])
+    mass = np.concatenate([[0.0], np.cumsum(counts * values)])
+
+    def median(i: int, j: int) -> float:  # of values[i:j] with their counts
+        rows = total[j] - total[i]
+        at = [values[int(np.searchsorted(total, total[i] + np.floor(x), "right")) - 1] for x in ((rows - 1) / 2, rows / 2)]
+        return float(sum(at) / 2)
+
+    def spread(i: int, j: int) -> float:
+        m = median(i, j)
+        h = i + int(np.searchsorted(values[i:j], m, "right"))
+        return m * (total[h] - total[i]) - (mass[h] - mass[i]) + (mass[j] - mass[h]) - m * (total[j] - total[h])
+
+    ends = np.unique(np.searchsorted(total[1:], total[-1] * np.arange(1, k + 1) / k - 1e-9) + 1).clip(max=n)
+    for _ in range(500):
+        edges = np.concatenate([[0], ends])
+        middle = np.array([median(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        new = np.unique(np.concatenate([np.searchsorted(values, (middle[:-1] + middle[1:]) / 2, "right"), [n]]))
+        new = new[new > 0]
+        if np.array_equal(new, ends):
+            break
+        ends = new
+    moved = forced
+    while moved:
+        moved = False
+        for c in range(len(ends) - 1):
+            lo, hi = (ends[c - 1] if c else 0), ends[c + 1]
+            now = spread(lo, ends[c]) + spread(ends[c], hi)
+            for e in (ends[c] - 1, ends[c] + 1):
+                if lo < e < hi and spread(lo, e) + spread(e, hi) < now - 1e-12 * max(1.0, abs(now)):
+                    ends[c], moved = e, True
+                    break
+    return [float(values[e - 1]) for e in ends]
+
+
+def _widest_gaps(v: DataFrame, k: int) -> list[float]:
+    """Middles of the k widest gaps between neighbouring distinct values, the lowest of equals; one row a range comes to the driver."""
+    rows, place = ranged(v.distinct(), ["v"])
+    rows = rows.withColumn("p", F.shiftright(place, 33))
+    inner = rows.withColumn("after", F.lead("v").over(Window.partitionBy("p").orderBy("v"))).where("after is not null").select("v", "after")
+    found = [(r["v"], r["after"]) for r in inner.orderBy((F.col("v") - F.col("after")), "v").limit(k).collect()]
+    ends = sorted((r["a"], r["b"]) for r in rows.groupBy("p").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect())
+    found += [(b, a) for (_, b), (a, _) in zip(ends[:-1], ends[1:], strict=True)]
+    return sorted((a + b) / 2 for a, b in sorted(found, key=lambda g: (g[0] - g[1], g[0]))[:k])
+
+
+def classify(df: DataFrame, col: str, scheme: str = "fisherjenks", k: int = 5, bounds: list[float] | None = None, *, sample: int = 1000, most: int = 2_000_000) -> list[float]:
+    """Upper bounds of the bins of a numeric column.
+
+    Aggregates decide, but for schemes that look for the best classes: these see every distinct value
+    with its count on the driver, and raise where there are more than `most`. The sampled ones
+    see `sample` quantiles instead, at any size. Natural breaks and max-p look for the optimum
+    that Fisher-Jenks finds: classes of least squared deviation, contiguous on the line.
+    """
     scheme = scheme.lower()
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}, got {scheme!r}")
@@ -85,19 +162,17 @@ def classify(df: DataFrame, col: str, scheme: str = "fisherjenks", k: int = 5, b
         step = unit * min((m for m in (1, 2, 5, 10) if m * unit >= raw), default=10)
         cuts = np.arange(np.floor(lo / step) + 1, np.ceil(hi / step) + 1) * step
         return [float(c) for c in cuts]
-    counts = v.groupBy("v").agg(F.count("*").alias("n"))
-    many = counts.count()
-    if many > DISTINCT:
-        values = np.array(sorted(set(quant(np.linspace(0, 1, DISTINCT)))))
-        weight = np.ones(len(values))
-    else:
-        rows = sorted((r["v"], r["n"]) for r in counts.collect())
-        values, weight = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
     if scheme == "maximumbreaks":
-        gaps = np.diff(values)
-        at = np.sort(np.argsort(-gaps, kind="stable")[: k - 1])
-        return [float((values[i] + values[i + 1]) / 2) for i in at] + [hi]
-    # Jenks-Caspall and natural breaks look for the same optimum that this finds exactly; max-p's
-    # regions of a line are the same contiguous classes
-    out = fisher_jenks(values, weight, k)
+        return [*_widest_gaps(v, k - 1), hi]
+    if scheme in SAMPLED:
+        values, weight = np.unique(np.array(quant(np.linspace(0, 1, sample))), return_counts=True)
+    else:
+        rows = v.groupBy("v").agg(F.count("*").alias("n")).limit(most + 1).toPandas()
+        if len(rows) > most:
+            raise ValueError(f"{scheme} sees every distinct value, and there are more than {most}: use one of {tuple(SAMPLED)}, or raise `most`")
+        rows = rows.sort_values("v")
+        values, weight = rows["v"].to_numpy(float), rows["n"].to_numpy()
+    weight = weight.astype(float)
+    scheme = SAMPLED.get(scheme, scheme)
+    out = jenks_caspall(values, weight, k, scheme.endswith("forced")) if scheme.startswith("jenks") else fisher_jenks(values, weight, k)
     return [*out[:-1], hi]

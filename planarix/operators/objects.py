@@ -11,16 +11,6 @@ from planarix.functions import geometry as G
 from planarix.operators import spatial_join as J
 
 
-def _ranged(df: DataFrame, order_by: list[str], parts: int | None = None) -> tuple[DataFrame, str]:
-    """Rows in range partitions and sorted, written once with a place (partition, then row) in the column returned.
-
-    Range bounds are sampled anew in every run of a plan, so counts and rows must come from one run.
-    """
-    place = "__place"
-    ranged = (df.repartitionByRange(parts, *order_by) if parts else df.repartitionByRange(*order_by)).sortWithinPartitions(*order_by)
-    return storage.materialise(ranged.withColumn(place, F.monotonically_increasing_id()), "ranged"), place
-
-
 def _before(rows: DataFrame, part: str, n: Column, start: int = 0) -> tuple[DataFrame, int]:
     """(part, __o): the sum of `n` before each partition, one row a partition; and the sum over all."""
     total, before = start, []
@@ -36,7 +26,7 @@ def set_uid(df: DataFrame, order_by: list[str], start: int = 0, id_col: str = "u
     Rows are range-partitioned, sorted and written once; a partition's offset is the count before it
     (one number a partition comes to the driver).
     """
-    rows, place = _ranged(df.drop(id_col), order_by)
+    rows, place = storage.ranged(df.drop(id_col), order_by)
     rows = rows.withColumn("__p", F.shiftright(place, 33)).withColumn("__n", F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
     offsets, _ = _before(rows, "__p", F.lit(1), start)
     return rows.join(F.broadcast(offsets), "__p").withColumn(id_col, F.col("__o") + F.col("__n")).drop("__p", "__n", "__o", place)
@@ -87,7 +77,7 @@ def col_norm(df: DataFrame, col: str, method: str = "quantile", out: str | None
     if method != "quantile":
         raise ValueError(f"method must be 'quantile' or 'minmax', got {method!r}")
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__c"))
-    part, place = _ranged(counts, ["__v"], parts)
+    part, place = storage.ranged(counts, ["__v"], parts)
     part = part.withColumn("__p", F.shiftright(place, 33))
     offsets, total = _before(part, "__p", F.col("__c"))
     part = part.withColumn("__r", F.sum("__c").over(Window.partitionBy("__p").orderBy("__v")))

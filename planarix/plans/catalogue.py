@@ -161,8 +161,8 @@ def distance_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fit_distband(X.cell_points(spark, sf_dir), R).select("focal", "neighbor", *_r("dist"))
 
 
-@query(f"""with {_CLUSTERS}, r as (select a.uid as focal, b.uid as neighbor, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) as d2, row_number() over (partition by a.uid order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.uid) as n
-from clusters a join clusters b on a.uid <> b.uid) select focal, neighbor, round(sqrt(d2), 6) as dist from r where n <= 5""")
+@query(f"""with {_CLUSTERS}, r as (select a.uid as focal, unnest(min({{'d2': (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), 'uid': b.uid}}, 5)) as n from clusters a join clusters b on a.uid <> b.uid group by a.uid)
+select focal, n.uid as neighbor, round(sqrt(n.d2), 6) as dist from r""")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fit_knn(X.clusters(spark, sf_dir), 5).select("focal", "neighbor", *_r("dist"))
 
@@ -213,9 +213,9 @@ def voronoi_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fit_voronoi(X.clusters(spark, sf_dir)).select("focal", "neighbor", *_r("dist"))
 
 
-@query(f"""with recursive {_CLUSTERS}, e as (select a.uid as a, b.uid as b from clusters a join clusters b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400.0),
-w as (select a as node, a as seen from e union select w.node, e.b from w join e on e.a = w.seen)
-select node, min(seen) as component from w group by node""")
+@query(f"""with recursive {_CLUSTERS}, e as materialized (select a.uid as a, b.uid as b from clusters a join clusters b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400.0),
+w(node, component) using key (node) as (select uid, uid from clusters union select e.a, min(w.component) from w join e on e.b = w.node join recurring.w as r on r.node = e.a group by e.a having min(w.component) < min(r.component))
+select node, component from w""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = X.clusters(spark, sf_dir)
     return graph.get_connected_components(graph.fit_distband(df, 20.0), df.select(F.col("uid").alias("id")))
@@ -403,10 +403,10 @@ def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- clusters and statistics ----------------------------------------------------------------
 
 
-@query(f"""with recursive {_CLUSTERS}, e as (select a.uid as a, b.uid as b from clusters a join clusters b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400.0),
-core as (select a as id from e group by a having count(*) >= 8), ce as (select a, b from e where a in (select id from core) and b in (select id from core)),
-w as (select id as node, id as seen from core union select w.node, ce.b from w join ce on ce.a = w.seen), c as (select node, min(seen) as comp from w group by node),
-l as (select node, dense_rank() over (order by comp) - 1 as label from c), b as (select e.a as id, min(label) as label from e join l on l.node = e.b group by e.a)
+@query(f"""with recursive {_CLUSTERS}, e as materialized (select a.uid as a, b.uid as b from clusters a join clusters b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400.0),
+core as materialized (select a as id from e group by a having count(*) >= 8), ce as materialized (select a, b from e where a in (select id from core) and b in (select id from core)),
+w(node, comp) using key (node) as (select id, id from core union select ce.a, min(w.comp) from w join ce on ce.b = w.node join recurring.w as r on r.node = ce.a group by ce.a having min(w.comp) < min(r.comp)),
+l as (select node, dense_rank() over (order by comp) - 1 as label from w), b as (select e.a as id, min(label) as label from e join l on l.node = e.b group by e.a)
 select uid, cast(coalesce(l.label, b.label, -1) as int) as labels from clusters left join l on l.node = uid left join b on b.id = uid""")
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.density_clustering(X.clusters(spark, sf_dir), 20.0, 8)
@@ -492,8 +492,9 @@ def ripley_g(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.ripley_g(p, _SUPPORT).select("support", *_r("stat"))
 
 
-@query(f"""with {_CLUSTERS}, {_STEPS}, a as (select (max(x)-min(x))*(max(y)-min(y)) as area, count(*)::double as n from clusters), d as (select sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d from clusters a join clusters b on a.uid < b.uid)
-select support, round(2.0*(select count(*) from d where d < support)/n/(n/area), 4) as k, round(sqrt(2.0*(select count(*) from d where d < support)/n/(n/area)/pi()), 4) as l from s, a""")
+@query(f"""with {_CLUSTERS}, {_STEPS}, a as (select (max(x)-min(x))*(max(y)-min(y)) as area, count(*)::double as n from clusters), d as (select sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d from clusters a join clusters b on a.uid < b.uid and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 1600),
+c as (select support, count(d) as c from s left join d on d < support group by support)
+select support, round(2.0*c/n/(n/area), 4) as k, round(sqrt(2.0*c/n/(n/area)/pi()), 4) as l from c, a""")
 def ripley_k_and_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.clusters(spark, sf_dir).withColumnRenamed("uid", "id")
     k, l = stats.ripley_k(p, _SUPPORT), stats.ripley_l(p, _SUPPORT)  # noqa: E741

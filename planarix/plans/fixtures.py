@@ -29,11 +29,11 @@ from nation
 
 CLUSTERS = """
 select o_orderkey as uid,
-  cast((o_custkey % 12)*800 + (cast(round(o_totalprice*100) as bigint) % 300
-      + cast(floor(round(o_totalprice*100)/300) as bigint) % 300)/2 as double) as x,
-  cast((o_custkey % 12 * 5 % 12)*800 + (cast(floor(round(o_totalprice*100)/90000) as bigint) % 300
-      + o_custkey*7919 % 300)/2 as double) as y
-from orders where o_orderkey % 10 = 0
+  cast((o_custkey % 12)*2400 + (cast(round(o_totalprice*100) as bigint) % 300
+      + cast(floor(round(o_totalprice*100)/300) as bigint) % 300)*1.5 as double) as x,
+  cast((o_custkey % 12 * 5 % 12)*2400 + (cast(floor(round(o_totalprice*100)/90000) as bigint) % 300
+      + o_custkey*7919 % 300)*1.5 as double) as y
+from orders
 """
 
 PIXELS = """

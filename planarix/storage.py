@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,16 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def ranged(df: DataFrame, order_by: list[str], parts: int | None = None) -> tuple[DataFrame, str]:
+    """Rows in range partitions and sorted, written once with a place (partition, then row) in the column returned.
+
+    Range bounds are sampled anew in every run of a plan, so counts and rows must come from one run.
+    """
+    place = "__place"
+    ranged = (df.repartitionByRange(parts, *order_by) if parts else df.repartitionByRange(*order_by)).sortWithinPartitions(*order_by)
+    return materialise(ranged.withColumn(place, F.monotonically_increasing_id()), "ranged"), place
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
