@@ -150,11 +150,11 @@ def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
 def _named(blocks: np.ndarray) -> tuple[bytes, bytes]:
     """Block numbers as (number of each item's block in the list, list)."""
     some, owner = np.unique(blocks, return_inverse=True)
-    return owner.astype(np.uint32).tobytes(), some.astype(np.int64).tobytes()
+    return arrow.squeeze(owner), arrow.squeeze(some)
 
 
 def _blocks_of(owner: bytes, blocks: bytes) -> np.ndarray:
-    return np.frombuffer(blocks, np.int64)[np.frombuffer(owner, np.uint32)]
+    return arrow.unsqueeze(blocks)[arrow.unsqueeze(owner)]
 
 
 def _dest(block: np.ndarray, dests: int) -> np.ndarray:
@@ -178,12 +178,12 @@ class _Answers:
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            blocks, places = np.concatenate(self.blocks), np.concatenate(self.places).astype(np.int64)
+            blocks, places = np.concatenate(self.blocks), np.concatenate(self.places)
             dest = _dest(blocks, self.dests)
-            order = np.argsort(dest, kind="stable")
+            order = np.lexsort((places, blocks, dest))  # neighbours make small differences
             blocks, places, dest = blocks[order], places[order], dest[order]
             self.blocks, self.places, self.held = [], [], 0
-            yield _rows(_ANSWER, [(int(dest[a]), places[a:b].tobytes(), *_named(blocks[a:b])) for a, b in _cuts(dest)])
+            yield _rows(_ANSWER, [(int(dest[a]), arrow.squeeze(places[a:b]), *_named(blocks[a:b])) for a, b in _cuts(dest)])
 
 
 def packed(docs: DataFrame, text_col: str, block: int = LIMITS.block) -> DataFrame:
@@ -220,7 +220,7 @@ def repeated_cells(blocks: DataFrame, text_col: str, dests: int, bits: int, size
                 cell, more, owner = cell[order], more[order], owner[order]
                 spans = cell >> lim.range_bits
                 for a, b in _cuts(spans):
-                    yield _rows(_CELLS, [(int(spans[a]), (cell[a:b] & (1 << lim.range_bits) - 1).astype(np.uint32).tobytes(), np.packbits(more[a:b]).tobytes(), *_named(owner[a:b]))])
+                    yield _rows(_CELLS, [(int(spans[a]), arrow.squeeze(cell[a:b] & (1 << lim.range_bits) - 1), np.packbits(more[a:b]).tobytes(), *_named(owner[a:b]))])
 
         for batch in batches:
             for number, payload in zip(arrow.column(batch, "block").to_pylist(), arrow.column(batch, "payload").to_pylist(), strict=True):
@@ -241,7 +241,7 @@ def repeated_cells(blocks: DataFrame, text_col: str, dests: int, bits: int, size
                 if now != span:
                     span = now
                     state[:] = 0
-                cell, holder = np.frombuffer(cell, np.uint32), _blocks_of(owner, blocks)
+                cell, holder = arrow.unsqueeze(cell), _blocks_of(owner, blocks)
                 more = np.unpackbits(np.frombuffer(more, np.uint8), count=len(cell)).astype(bool)
                 some, start, group, n = np.unique(cell, return_index=True, return_inverse=True, return_counts=True)
                 old = state[some]
@@ -250,7 +250,7 @@ def repeated_cells(blocks: DataFrame, text_col: str, dests: int, bits: int, size
                 pending = some[old == 1]
                 yield from answers.add(first[pending], pending + base)
                 hit = many[group]
-                yield from answers.add(holder[hit], cell[hit].astype(np.int64) + base)
+                yield from answers.add(holder[hit], cell[hit] + base)
                 state[some] = np.where(many, 2, 1)
                 first[some[~many]] = holder[start[~many]]
         yield from answers.send()
@@ -280,7 +280,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.nda
             if dest != open_:
                 open_, held = dest, {}
             if kind == 0:
-                mine, got = _blocks_of(owner, blocks), np.frombuffer(places, np.int64)
+                mine, got = _blocks_of(owner, blocks), arrow.unsqueeze(places)
                 order = np.argsort(mine, kind="stable")
                 mine, got = mine[order], got[order]
                 for a, b in _cuts(mine):
@@ -315,11 +315,11 @@ def repeated_windows(blocks: DataFrame, text_col: str, size: int = SIZE, gram: i
                 yield _rows(_ASKED, [(-1 - d, None, None, *rest) for d, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
             ask = np.flatnonzero(new)
             bucket = (h[ask, 0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((place[ask], block[ask], bucket))
             ask, bucket = ask[order], bucket[order]
             for a, b in _cuts(bucket):
                 w = ask[a:b]
-                yield _rows(_ASKED, [(int(bucket[a]), h[w].tobytes(), np.packbits(several[w]).tobytes(), place[w].astype(np.uint32).tobytes(), *_named(block[w]))])
+                yield _rows(_ASKED, [(int(bucket[a]), h[w].tobytes(), np.packbits(several[w]).tobytes(), arrow.squeeze(place[w]), *_named(block[w]))])
 
         for number, payload, found in _met(batches):
             if not len(found):
@@ -368,7 +368,7 @@ def repeated_windows(blocks: DataFrame, text_col: str, size: int = SIZE, gram: i
                 if now != bucket:
                     yield from settle()
                     known, bucket = none, now
-                at = np.frombuffer(places, np.uint32).astype(np.int64)
+                at = arrow.unsqueeze(places)
                 more = np.unpackbits(np.frombuffer(more, np.uint8), count=len(at))
                 waiting.append((np.frombuffer(h, np.uint64).reshape(-1, 2), (1 + more).astype(np.int8), _blocks_of(owner, blocks), at))
                 n += len(at)
