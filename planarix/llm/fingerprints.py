@@ -92,50 +92,77 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", k: int = K, shingle:
 
 
 def merged(prints: DataFrame, by: list[str], *, k: int = K) -> DataFrame:
-    """Fingerprint of all rows of a group together. Hashes are cut to the group's k smallest in two steps, first in each of 64 slices, so a hot group isn't gathered in one task."""
+    """(by, fingerprint) of all rows of a group together: one row a group, null groups included, none for an empty table.
+
+    Hashes are cut to the group's k smallest in two steps, first in each of 64 slices, so a hot group isn't
+    gathered in one task. Groups without shingles have an empty fingerprint.
+    """
     from pyspark.sql import Window
 
-    each = prints.select(*by, F.explode(F.expr("transform(sequence(1, greatest(1, cast(length(fingerprint) / 16 as int))), i -> substring(fingerprint, (i - 1) * 16 + 1, 16))")).alias("h")).where("h <> ''").distinct()
-    salted = each.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(64)))
-    cut = salted.withColumn("n", F.row_number().over(Window.partitionBy(*by, "slice").orderBy("h"))).where(F.col("n") <= k)
-    last = cut.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= k)
-    return last.groupBy(*by).agg(F.concat_ws("", F.array_sort(F.collect_list("h"))).alias("fingerprint"))
+    names = [f"__by{n}" for n in range(len(by))]
+    keyed = prints.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.coalesce("fingerprint", F.lit("")).alias("__f"))
+    groups = keyed.select(*names).distinct()
+    each = keyed.select(*names, F.explode(F.expr("transform(sequence(1, greatest(1, cast(length(__f) / 16 as int))), i -> substring(__f, (i - 1) * 16 + 1, 16))")).alias("__h")).where("__h <> ''").distinct()
+    salted = each.withColumn("__slice", F.pmod(F.xxhash64("__h"), F.lit(64)))
+    cut = salted.withColumn("__n", F.row_number().over(Window.partitionBy(*names, "__slice").orderBy("__h"))).where(F.col("__n") <= k)
+    last = cut.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy("__h"))).where(F.col("__n") <= k)
+    made = last.groupBy(*[F.col(n).alias(f"{n}_") for n in names]).agg(F.concat_ws("", F.array_sort(F.collect_list("__h"))).alias("fingerprint"))
+    same = None
+    for n in names:
+        same = F.col(n).eqNullSafe(F.col(f"{n}_")) if same is None else same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    return groups.join(made, same, "left").select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+
+
+#: Keys that are drawn for each range.
+DRAWN = 32
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
     """Deal documents into ranges of ascending identifier, each followed by the next range's first document.
 
-    Returns rows (part, guest, id, body), partitioned by part and sorted by (part, guest, id, body);
-    guest rows only serve as the next document of the row before. Null identifiers come first.
-    Range bounds are approximate quantiles, as many as shuffle partitions; the first documents
-    of the ranges are found by an aggregate over identifiers alone.
+    Returns rows (part, guest, id, h, body), partitioned by part and sorted by (part, guest, id, h, body);
+    guest rows only serve as the next document of the row before. Identifiers may be of any type
+    with an order; null ones come first, equal ones go by a hash of the text (h), then by the text. Range bounds are
+    quantiles of a sample of (id, h), drawn by hash, so that a hot identifier, null too, is divided as well.
     """
     spark = docs.sparkSession
     parts = storage.partitions(spark)
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    base = docs.select(ident.alias("o"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    cuts = sorted({int(x) for x in base.approxQuantile("o", [(i + 1) / parts for i in range(parts - 1)], 0.2 / parts)}) if parts > 1 else []
-    part = sum((F.when(F.col("o") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) <= 8 else _bucket(cuts)
-    placed = base.select(part.alias("part"), "o", "id", "body")
-    heads = sorted(tuple(r) for r in placed.groupBy("part").agg(F.min("o")).collect())  # one row a range
-    ranges = [p for p, _ in heads]
-    if not heads:
-        return placed.limit(0).select("part", F.lit(False).alias("guest"), "id", "body"), ranges
-    hosts = spark.createDataFrame([(o, ranges[i - 1]) for i, (_, o) in enumerate(heads)], "o long, host int")
-    first = placed.where(F.col("o").isin([o for _, o in heads])).join(F.broadcast(hosts), "o")
-    guests = first.groupBy("host").agg(F.min(F.struct("id", "body")).alias("m")).select("host", "m.id", "m.body")
-    rows = placed.select("part", F.lit(False).alias("guest"), "id", "body").unionByName(guests.select(F.col("host").alias("part"), F.lit(True).alias("guest"), "id", "body"))
-    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "id", "body"), ranges
-
-
-def _bucket(cuts: list[int]) -> Column:
-    """Number of cuts below the column `o`, by bisection in nested conditions."""
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
+    key = F.struct("id", "h")
+    # at most DRAWN keys a range come to the driver
+    drawn = base.select(key.alias("k")).orderBy(F.xxhash64("k.id", "k.h", F.lit("drawn")), "k").limit(DRAWN * parts).collect() if parts > 1 else []
+    order = lambda k: (k["id"] is not None, k["id"] if k["id"] is not None else 0, k["h"])
+    line = sorted((r["k"] for r in drawn), key=order)
+    cuts = [line[len(line) * i // parts] for i in range(1, parts)] if line else []
+    cuts = [c for n, c in enumerate(cuts) if not n or order(c) != order(cuts[n - 1])]
+    placed = base.withColumn("part", _bucket(cuts, docs.schema[id_col].dataType))
+    heads = [(r["part"], r["m"]["id"], r["m"]["h"]) for r in placed.select("part", key.alias("k")).groupBy("part").agg(F.min("k").alias("m")).orderBy("part").collect()]  # one row a range
+    ranges = [p for p, _, _ in heads]
+    if not ranges:
+        return placed.limit(0).select("part", F.lit(False).alias("guest"), "id", "h", "body"), ranges
+    kind = T.StructType().add("i", docs.schema[id_col].dataType).add("g", "long").add("host", "integer")
+    hosts = spark.createDataFrame([(i, h, ranges[n - 1]) for n, (_, i, h) in enumerate(heads)], kind)
+    first = placed.join(F.broadcast(hosts), (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i")))
+    guests = first.groupBy("host").agg(F.min(F.struct("id", "h", "body")).alias("m")).select(F.col("host").alias("part"), F.lit(True).alias("guest"), "m.id", "m.h", "m.body")
+    rows = placed.select("part", F.lit(False).alias("guest"), "id", "h", "body").unionByName(guests)
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "id", "h", "body"), ranges
+
+
+def _bucket(cuts: list, kind: T.DataType) -> Column:
+    """Number of cuts (id, h) that are <= the row's, by bisection in nested conditions."""
+
+    def below(c) -> Column:
+        if c["id"] is None:
+            return F.col("id").isNull() & (F.col("h") < F.lit(c["h"]))
+        ident = F.lit(c["id"]).cast(kind)
+        return F.col("id").isNull() | (F.col("id") < ident) | ((F.col("id") == ident) & (F.col("h") < F.lit(c["h"])))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("o") <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(below(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(cuts))
 
@@ -149,8 +176,11 @@ def edited(text: str, following: str) -> str:
 def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprint each text and its edited text, and estimate the resemblance to the edited and to the next text.
 
-    The next document is the one of next larger identifier; the first follows the last. Rows of
-    equal identifier go by text; null identifiers come first. A single document is its own next.
+    Returns the identifier, n_chars, edited, fingerprint, edited_fingerprint, near_edited and near_next; other
+    columns are left out. The next document is the one of next larger identifier; the first
+    follows the last. Identifiers may be of any type with an order; null ones come first, rows of equal
+    identifier go by a hash of the text, then by the text. Null texts count as empty. A single
+    document is its own next; an empty table gives an empty one.
     """
     rows, _ = with_next(docs, id_col=id_col, text_col=text_col)
     kind = docs.schema[id_col].dataType

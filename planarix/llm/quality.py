@@ -5,8 +5,8 @@ All grades share one weight vector; ordered thresholds cut its score into grades
 P(grade <= j) = logistic(threshold_j - score). The model gives the expected grade and the
 probability of reaching a grade, by which documents are selected.
 
-Fitting reads at most `per_grade` rated rows of each grade, of at most `max_bytes` each
-(documented bounds, in hash order). Scoring reads every whole text.
+Fitting reads at most `per_grade` rated rows of each grade and `most` in all, of at most `max_bytes`
+each (documented bounds, in hash order). Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -30,20 +30,31 @@ class Model:
     thresholds: np.ndarray
 
 
+def _grams(raw: np.ndarray, mask: np.uint64) -> np.ndarray:
+    """Bucket of each run of four bytes."""
+    if len(raw) < 4:
+        return np.zeros(0, np.int64)
+    wide = raw.astype(np.uint64)
+    return (arrow.mix(wide[:-3] | wide[1:-2] << np.uint64(8) | wide[2:-1] << np.uint64(16) | wide[3:] << np.uint64(24)) & mask).astype(np.int64)
+
+
 def features(col: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
-    """Square roots of hashed 4-gram and word frequencies, one row a text; zero for an empty text."""
+    """Square roots of hashed 4-gram and word frequencies, one row a text; zero for a null or empty text. Long texts are counted in steps."""
     out = np.zeros((len(col), 2 * buckets), np.float32)
     mask = np.uint64(buckets - 1)
     for i, j, raw, off in arrow.pieces(col):
         starts, ends, rows = arrow.word_spans(raw, off)
         words = (arrow.word_hashes(raw, starts, ends) & mask).astype(np.int64)
-        wide = raw.astype(np.uint64)
-        grams = (arrow.mix(wide[:-3] | wide[1:-2] << np.uint64(8) | wide[2:-1] << np.uint64(16) | wide[3:] << np.uint64(24)) & mask).astype(np.int64) if len(raw) > 3 else np.zeros(0, np.int64)
         bounds = np.searchsorted(rows, np.arange(j - i + 1))
+        several = _grams(raw, mask) if j > i + 1 else None
         for n in range(j - i):
-            for part, base in ((grams[off[n] : max(off[n], off[n + 1] - 3)], 0), (words[bounds[n] : bounds[n + 1]], buckets)):
-                if len(part):
-                    out[i + n, base : base + buckets] = np.sqrt(np.bincount(part, minlength=buckets) / len(part))
+            if several is not None:
+                grams = np.bincount(several[off[n] : max(off[n], off[n + 1] - 3)], minlength=buckets)
+            else:
+                grams = sum((np.bincount(_grams(raw[a : a + arrow.STEP_BYTES + 3], mask), minlength=buckets) for a in range(0, len(raw), arrow.STEP_BYTES)), np.zeros(buckets, np.int64))
+            for part, base in ((grams, 0), (np.bincount(words[bounds[n] : bounds[n + 1]], minlength=buckets), buckets)):
+                if total := part.sum():
+                    out[i + n, base : base + buckets] = np.sqrt(part / total)
     return out
 
 
@@ -79,24 +90,45 @@ def train(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, n: int, ridge: f
     return theta[:d], np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, *, per_grade: int = 1500, max_bytes: int = 65536, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality") -> Model:
-    """Train on rated rows: all grades that occur, in ascending order. Without two grades the model is constant.
+def sample(ratings: DataFrame, most: int, per_grade: int, id_col: str, grade_col: str) -> tuple[DataFrame, dict[float, int]]:
+    """(id, grade) of at most per_grade rows a grade and `most` in all, by a hash of the id; and the number of rows of each grade.
 
-    Rows are weighted so that grades count as often as they are rated.
+    A hash threshold leaves few more rows than asked for before they are ranked, so a grade that
+    nearly all rows have isn't sorted.
     """
     known = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("double").alias("grade")).where("id is not null and grade is not null").distinct()
-    counts = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
+    counts = {r["grade"]: r["count"] for r in known.groupBy("grade").count().limit(most + 1).collect()}
+    if len(counts) > most // 2:
+        raise ValueError(f"more than {most // 2} different grades: put a continuous rating into steps first")
+    if not counts:
+        return known, counts
+    each = min(per_grade, most // len(counts))
+    share = F.element_at(F.create_map(*[F.lit(v) for g, n in counts.items() for v in (g, min(1.0, (each + 6 * each**0.5 + 20) / n))]), F.col("grade"))
+    rank = F.xxhash64("id")
+    few = known.where(F.shiftrightunsigned(rank, 11) / F.lit(float(1 << 53)) < share)
+    nth = F.row_number().over(Window.partitionBy("grade").orderBy(F.shiftrightunsigned(rank, 11), "id"))
+    return few.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth"), counts
+
+
+def fit(docs: DataFrame, ratings: DataFrame, *, per_grade: int = 1500, most: int = 6000, max_bytes: int = 65536, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality") -> Model:
+    """Train on rated rows: all grades that occur, in ascending order. Without two grades the model is constant.
+
+    Rows are weighted so that grades count as often as they are rated. Null identifiers, grades and
+    texts are passed over; of rows that repeat an identifier the smallest text counts. Raises on more
+    grades than half of `most`.
+    """
+    picked, counts = sample(ratings, most, per_grade, id_col, grade_col)
     grades = sorted(counts)
     if len(grades) < 2:
         return Model(tuple(grades or [0.0]), np.zeros(2 * BUCKETS), np.zeros(0))
-    nth = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("id"), "id"))
-    picked = known.withColumn("nth", nth).where(F.col("nth") <= per_grade).drop("nth")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(F.octet_length("body") <= max_bytes).join(F.broadcast(picked), "id").select("id", "grade", "body").collect()  # bounded: per_grade rows of max_bytes a grade
-    rows.sort(key=lambda r: (r["id"], r["grade"], r["body"]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(F.octet_length("body") <= max_bytes)
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id", "grade").agg(F.min("body").alias("body")).collect()  # at most `most` ids, and one bounded text for each
+    rows.sort(key=lambda r: (r["id"], r["grade"]))
     if len({r["grade"] for r in rows}) < 2:
         return Model(tuple(grades), np.zeros(2 * BUCKETS), np.linspace(-1, 1, len(grades) - 1))
     x = features(pa.array([r["body"] for r in rows], pa.string()))
-    grade = np.array([grades.index(r["grade"]) for r in rows])
+    number = {g: n for n, g in enumerate(grades)}
+    grade = np.array([number[r["grade"]] for r in rows])
     weight = np.array([counts[grades[g]] / max(1, (grade == g).sum()) for g in grade])
     return Model(tuple(grades), *train(x, grade, weight, len(grades)))
 
@@ -113,8 +145,8 @@ def predict(model: Model, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.n
 def score(docs: DataFrame, model: Model, *, reach: float = 1.0, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append expected_grade and tail_probability (of a grade >= `reach`) to every row.
 
-    Null and empty texts have no features and get the thresholds' own grade. Columns of these
-    names are replaced.
+    Null and empty texts have no features and get the thresholds' own grade. Equal texts have equal
+    results. An empty table gives an empty one. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 

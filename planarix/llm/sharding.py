@@ -57,11 +57,12 @@ def _draw(rows: DataFrame, n: int) -> list[tuple[int, int]]:
     return sorted({(r["h"], r["i"]) for r in got})
 
 
-def splitters(rows: DataFrame, shards: int, rounds: int = 6, tolerance: float = 1e-4) -> list[tuple[tuple[int, int], int, int, int]]:
+def splitters(rows: DataFrame, shards: int, rounds: int = 12, tolerance: float = 1e-4) -> list[tuple[tuple[int, int], int, int, int]]:
     """Ranges in key order: (splitter that starts it, bytes, rows, shard).
 
     `rows` has h, i (the key) and size. At most SPLITTERS + rounds * shards * FINER keys and as
-    many sums come to the driver, whatever the input.
+    many sums come to the driver, whatever the input. Raises if ranges are still overfull after so many
+    rounds; ranges of one key can't be divided and don't count.
     """
     keys = [(-(1 << 63), -(1 << 63)), *_draw(rows, SPLITTERS)]
     keys = sorted(set(keys))
@@ -73,8 +74,10 @@ def splitters(rows: DataFrame, shards: int, rounds: int = 6, tolerance: float =
         wanted = [total * s / shards for s in range(1, shards)]
         overfull = sorted({int(np.searchsorted(ends, w, "left")) for w in wanted if np.min(np.abs(np.concatenate([[0], ends]) - w)) > tolerance * total / shards})
         overfull = [k for k in overfull if parts[k][1] > 1]
-        if not overfull or _ == rounds:
+        if not overfull:
             break
+        if _ == rounds:
+            raise RuntimeError(f"shards aren't within {tolerance} of each other after {rounds} rounds")
         inner = _numbered(rows, keys[1:]).where(F.col("part").isin(overfull))
         u = (F.shiftrightunsigned(F.xxhash64("h", "i", F.lit(_)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
         line = Window.partitionBy("part").orderBy("e", "h", "i")
@@ -97,8 +100,8 @@ def assign(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col
 
     Shards get near equal bytes: off by less than a ten-thousandth or by one record, whichever is more.
     Equal texts are neighbours and part only where a boundary falls among them, as a hot group
-    must. Rows with equal text and identifier keep together. Null texts have size 1; identifiers
-    may be null. Columns of these names are replaced. Text itself is never shuffled in the
+    must. Rows with equal text and identifier keep together, in any order among themselves. Null
+    texts have size 1; identifiers may be null. An empty table gives an empty one. Columns of these names are replaced. Text itself is never shuffled in the
     query; slots are numbered within small ranges, whose counts are known, not within whole shards.
     """
     base = docs.drop("size", "text_crc32", "shard", "slot")

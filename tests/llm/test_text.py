@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from planarix.llm import arrow, bpe, fingerprints, quality, toxicity
 from tests.llm import cases
@@ -84,7 +85,8 @@ def test_merged_fingerprints(spark):
 def test_edits(spark):
     rows = cases.rows()
     got = fingerprints.compare_edits(cases.frame(spark)).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashed = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63) & (1 << 64) - 1  # noqa: E731  in signed order
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]), r[1] or ""))
     want = []
     for r, n in zip(order, order[1:] + order[:1], strict=True):
         t, f = r[1] or "", n[1] or ""
