@@ -61,9 +61,11 @@ def chains(ridges: np.ndarray, close: float = 1.0) -> list[np.ndarray]:
     return out
 
 
-def medial_lines(rings: list[np.ndarray], num_points: int = 500, delta: float = 0.3, simplify_level: float = 30) -> list[np.ndarray]:
-    """Voronoi ridges of the resampled outline with both ends inside the polygon, as lines."""
+def medial_lines(rings: list[np.ndarray], num_points: int | None = 500, delta: float = 0.3, simplify_level: float = 30) -> list[np.ndarray]:
+    """Voronoi ridges of the outline, resampled to num_points or else every `delta`, with both ends inside the polygon, as lines."""
     shell = planar.simplify(rings[0], simplify_level)
+    if num_points is None:
+        num_points = max(8, round(planar.perimeter([shell]) / delta))
     pts = resample(shell, num_points)[:-1]
     pts = np.vstack([pts, *[resample(h, max(8, num_points // 4))[:-1] for h in rings[1:]]])
     # break the symmetry of regular outlines by less than any coordinate matters

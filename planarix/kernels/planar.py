@@ -6,6 +6,7 @@ A ring is an (n, 2) array, closed for polygons. A polygon is a list of rings (sh
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 
@@ -212,67 +213,64 @@ def geometry_distance(kind_a: str, a: list[np.ndarray], kind_b: str, b: list[np.
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Closed counter-clockwise hull by monotone chains; fewer than three vertices for collinear input."""
-    p = np.unique(points, axis=0)
+    p = sorted(set(map(tuple, np.asarray(points, float).tolist())))
     if len(p) < 3:
-        return np.vstack([p, p[:1]])
-    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+        return np.array([*p, p[0]])
 
-    def chain(order) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def chain(order) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
         for q in order:
-            while len(out) > 1 and turn(out[-2], out[-1], q) <= 0:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
 
-    hull = np.array(chain(p) + chain(p[::-1]))
-    return np.vstack([hull, hull[:1]])
+    hull = chain(p) + chain(p[::-1])
+    return np.array([*hull, hull[0]])
 
 
-def min_rotated_rectangle(points: np.ndarray) -> np.ndarray:
-    """Corners (4, 2) of the smallest enclosing rectangle, one side along a hull edge."""
-    hull = convex_hull(points)[:-1]
+def min_rotated_rectangle(points: np.ndarray, hull: np.ndarray | None = None) -> np.ndarray:
+    """Corners (4, 2) of the smallest enclosing rectangle, one side along a hull edge; of equal ones that of least perimeter."""
+    hull = (convex_hull(points) if hull is None else hull)[:-1]
     if len(hull) < 3:
         a, b = hull[0], hull[-1]
         return np.array([a, b, b, a])
-    edges = np.roll(hull, -1, axis=0) - hull
-    angles = np.unique(np.round(np.arctan2(edges[:, 1], edges[:, 0]) % (math.pi / 2), 12))
+    p = hull.tolist()
+    angles = sorted({round(math.atan2(b[1] - a[1], b[0] - a[0]) % (math.pi / 2), 12) for a, b in zip(p, p[1:] + p[:1], strict=True)})
     best = None
     for t in angles:
-        u = np.array([math.cos(t), math.sin(t)])
-        v = np.array([-u[1], u[0]])
-        pu, pv = hull @ u, hull @ v
-        size = (pu.max() - pu.min()) * (pv.max() - pv.min())
-        if best is None or size < best[0] - 1e-9 * max(1.0, size):
-            best = (size, u, v, pu.min(), pu.max(), pv.min(), pv.max())
-    _, u, v, a, b, c, d = best
-    return np.array([a * u + c * v, b * u + c * v, b * u + d * v, a * u + d * v])
+        c, s = math.cos(t), math.sin(t)
+        pu, pv = [x * c + y * s for x, y in p], [y * c - x * s for x, y in p]
+        wide, high = max(pu) - min(pu), max(pv) - min(pv)
+        size, slack = wide * high, 1e-9 * max(1.0, wide * high)
+        if best is None or size < best[0] - slack or (size < best[0] + slack and wide + high < best[1] - 1e-9):
+            best = (size, wide + high, (c, s), min(pu), max(pu), min(pv), max(pv))
+    _, _, (c, s), a, b, d, e = best
+    return np.array([(u * c - v * s, u * s + v * c) for u, v in ((a, d), (b, d), (b, e), (a, e))])
 
 
-def min_bounding_circle(points: np.ndarray) -> tuple[float, float, float]:
+def min_bounding_circle(points: np.ndarray, hull: np.ndarray | None = None) -> tuple[float, float, float]:
     """(x, y, r) by Welzl's move-to-front method over the hull."""
-    p = convex_hull(points)[:-1]
-    rnd = np.random.default_rng(0)
-    p = p[rnd.permutation(len(p))]
+    p = (convex_hull(points) if hull is None else hull)[:-1].tolist()
+    random.Random(0).shuffle(p)
 
     def two(a, b):
-        c = (a + b) / 2
-        return c[0], c[1], float(np.hypot(*(a - c)))
+        return (a[0] + b[0]) / 2, (a[1] + b[1]) / 2, math.hypot(a[0] - b[0], a[1] - b[1]) / 2
 
     def three(a, b, c):
         d = 2 * (a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1]))
         if abs(d) < 1e-12:
             return max((two(a, b), two(b, c), two(a, c)), key=lambda z: z[2])
-        s = [(q**2).sum() for q in (a, b, c)]
+        s = [q[0] ** 2 + q[1] ** 2 for q in (a, b, c)]
         x = (s[0] * (b[1] - c[1]) + s[1] * (c[1] - a[1]) + s[2] * (a[1] - b[1])) / d
         y = (s[0] * (c[0] - b[0]) + s[1] * (a[0] - c[0]) + s[2] * (b[0] - a[0])) / d
-        return float(x), float(y), float(math.hypot(a[0] - x, a[1] - y))
+        return x, y, math.hypot(a[0] - x, a[1] - y)
 
     holds = lambda c, q: math.hypot(q[0] - c[0], q[1] - c[1]) <= c[2] * (1 + 1e-12) + 1e-12
-    c = (float(p[0][0]), float(p[0][1]), 0.0)
+    c = (p[0][0], p[0][1], 0.0)
     for i in range(1, len(p)):
         if not holds(c, p[i]):
-            c = (float(p[i][0]), float(p[i][1]), 0.0)
+            c = (p[i][0], p[i][1], 0.0)
             for j in range(i):
                 if not holds(c, p[j]):
                     c = two(p[i], p[j])

@@ -122,17 +122,21 @@ def std_distance(df: DataFrame, by: list[str] | None = None, id_col: str = "uid"
     return rows.groupBy(*(by or [])).agg(F.sqrt(F.var_pop("x") + F.var_pop("y")).alias("std_distance"))
 
 
+#: Tissues, and their vertices together, that are broadcast.
+FEW, MOST_POINTS = 64, 20_000
+
+
 def dists_to_tissue(objs: DataFrame, tissues: DataFrame, tissue_class: str, *, id_col: str = "uid", out: str | None = None) -> DataFrame:
     """Append dist_to_{class}: distance of each centroid to the nearest tissue of a class, 0 inside; null if there is none.
 
-    Tissues are joined by class alone, so each object meets all tissues of that class: they are
-    checked to be few (at most 256) before they are broadcast; else nearest cells come first.
+    Few and small tissues (at most FEW of MOST_POINTS vertices together) are broadcast, and each object meets
+    all of them; else radii grow until every object has a tissue within its own.
     """
     name = out or f"dist_to_{tissue_class}"
     few = tissues.where(F.col("class_name") == tissue_class).select(F.col("geometry").alias("g"))
     c = centroids(objs, id_col)
-    n = few.limit(257).count()
-    if n <= 256:
+    size = few.agg(F.count("*").alias("n"), F.sum(F.aggregate("g.rings", F.lit(0), lambda a, r: a + F.size(r))).alias("points")).first()
+    if size["n"] <= FEW and (size["points"] or 0) <= MOST_POINTS:
         pairs = c.join(F.broadcast(few))
         made = pairs.groupBy("id").agg(F.min(G.point_distance(F.col("g"), F.col("x"), F.col("y"))).alias(name))
         return objs.drop(name).join(made, objs[id_col] == made["id"], "left").drop("id")

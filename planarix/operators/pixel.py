@@ -85,61 +85,86 @@ def _frame(rows: dict[int, dict[str, float]]) -> pd.DataFrame:
     return out.reset_index()
 
 
-def grayscale_feats(image: np.ndarray, lab: np.ndarray, metrics=("mean", "std"), quantiles=(0.25, 0.5, 0.75), n_bins: int = 32, mask: np.ndarray | None = None) -> pd.DataFrame:
-    """The statistics of intensity_feats from an image and its instance mask, after a percentile rescale."""
-    if image.shape[:2] != lab.shape:
-        raise ValueError(f"shapes differ: {image.shape[:2]} and {lab.shape}")
-    g = raster.gray(raster.rescale(image))
-    lab = lab if mask is None else lab * (mask == 0)
-    used = g[lab > 0]
-    lo, hi = (used.min(), used.max()) if used.size else (0.0, 1.0)
-    rows = {}
-    for n in np.unique(lab[lab > 0]).tolist():
-        v = g[lab == n]
+def _objects(lab: np.ndarray, pad: int = 0):
+    """(label, its mask, its window) of each object, in a window of its bounds and `pad` pixels around; one pass over the image."""
+    y, x = np.nonzero(lab > 0)
+    if not len(y):
+        return
+    n = lab[y, x]
+    order = np.argsort(n, kind="stable")
+    y, x, n = y[order], x[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+    lows, highs = ([f.reduceat(v, start) for v in (y, x)] for f in (np.minimum, np.maximum))
+    for k, i in enumerate(start.tolist()):
+        window = tuple(slice(max(0, int(lo[k]) - pad), int(hi[k]) + 1 + pad) for lo, hi in zip(lows, highs, strict=True))
+        yield int(n[i]), lab[window] == n[i], window
+
+
+def _checked_shapes(image: np.ndarray, *others: np.ndarray | None) -> None:
+    for a in others:
+        if a is not None and a.shape != image.shape[:2]:
+            raise ValueError(f"shapes differ: {image.shape[:2]} and {a.shape}")
+
+
+def _inside(lab: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    """Labels in the region of interest, where a mask is positive."""
+    return lab if mask is None else lab * (mask > 0)
+
+
+def _statistics(v: np.ndarray, metrics, quantiles, n_bins: int, span: tuple[float, float]) -> dict[str, float]:
+    """The metrics of intensity_feats of some values, with histograms over `span`; zeros without values."""
+    row = {}
+    if v.size:
         m, s, med = v.mean(), v.std(), np.median(v)
-        h = np.histogram(v, n_bins, (lo, hi))[0] / len(v)
+        h = np.histogram(v, n_bins, span)[0] / len(v)
         z = (v - m) / s if s > 0 else v * 0
         every = {
             "min": v.min(), "max": v.max(), "mean": m, "median": med, "std": s, "meanmediandiff": (m - med) / max(med, 1e-6), "mad": np.median(np.abs(v - med)), "iqr": np.subtract(*np.percentile(v, (75, 25))),
             "skewness": (z**3).mean() if len(v) > 2 else np.nan, "kurtosis": (z**4).mean() - 3 if len(v) > 3 else np.nan, "histenergy": (h**2).sum(), "histentropy": -(h[h > 0] * np.log(h[h > 0])).sum(),
         }
-        row = {}
-        for k in metrics:
-            if k == "quantiles":
-                row |= {f"quantile_{q:g}": np.quantile(v, q) for q in quantiles}
-            elif k in every:
-                row[k] = every[k]
-            else:
-                raise ValueError(f"Illegal metric {k!r}. Choose from {INTENSITY_METRICS}")
-        rows[n] = {k: float(v) for k, v in row.items()}
-    return _frame(rows)
+    for k in metrics:
+        if k not in INTENSITY_METRICS:
+            raise ValueError(f"Illegal metric {k!r}. Choose from {INTENSITY_METRICS}")
+        if k == "quantiles":
+            row |= {f"quantile_{q:g}": float(np.quantile(v, q)) if v.size else 0.0 for q in quantiles}
+        else:
+            row[k] = float(every[k]) if v.size else 0.0
+    return row
+
+
+def grayscale_feats(image: np.ndarray, lab: np.ndarray, metrics=("mean", "std"), quantiles=(0.25, 0.5, 0.75), n_bins: int = 32, mask: np.ndarray | None = None) -> pd.DataFrame:
+    """The statistics of intensity_feats from an image and its instance mask, after a percentile rescale; only where `mask` is positive."""
+    _checked_shapes(image, lab, mask)
+    g, lab = raster.gray(raster.rescale(image)), _inside(lab, mask)
+    used = g[lab > 0]
+    span = (used.min(), used.max()) if used.size else (0.0, 1.0)
+    return _frame({n: _statistics(g[w][m], metrics, quantiles, n_bins, span) for n, m, w in _objects(lab)})
 
 
-def textural_feats(image: np.ndarray, lab: np.ndarray, metrics=("contrast",), distances=(1,), angles=(0.0,)) -> pd.DataFrame:
+def textural_feats(image: np.ndarray, lab: np.ndarray, metrics=("contrast",), distances=(1,), angles=(0.0,), mask: np.ndarray | None = None) -> pd.DataFrame:
     """Co-occurrence features {metric}_d-{distance}_a-{angle}; objects under four pixels a side get zeros."""
+    if bad := [k for k in metrics if k not in TEXTURE_METRICS]:
+        raise ValueError(f"Illegal metrics {bad}. Choose from {TEXTURE_METRICS}")
+    _checked_shapes(image, lab, mask)
     g, rows = np.clip(raster.gray(raster.rescale(image)) * 255, 0, 255).astype(np.int64), {}
-    for n in np.unique(lab[lab > 0]).tolist():
-        m = lab == n
-        a, b, c, d = raster.bounding_box(m)
-        row = {}
+    for n, m, w in _objects(_inside(lab, mask)):
+        rows[n] = {}
         for dist in distances:
             for ang in angles:
-                small = b - a < 4 or d - c < 4
-                got = {} if small else raster.glcm_metrics(raster.glcm((g * m)[a:b, c:d], dist, ang))
-                for k in metrics:
-                    if k not in ("contrast", "dissimilarity", "homogeneity", "ASM", "energy", "correlation"):
-                        raise ValueError(f"Illegal metric {k!r}")
-                    row[f"{k}_d-{dist}_a-{ang:.2f}"] = got.get(k, 0.0)
-        rows[n] = row
+                got = {} if min(m.shape) < 4 else raster.glcm_metrics(raster.glcm(g[w] * m, dist, ang))
+                rows[n] |= {f"{k}_d-{dist}_a-{ang:.2f}": got.get(k, 0.0) for k in metrics}
     return _frame(rows)
 
 
+TEXTURE_METRICS = ("contrast", "dissimilarity", "homogeneity", "ASM", "energy", "correlation")
 CHROMATIN_METRICS = ("chrom_area", "chrom_nuc_prop", "n_chrom_clumps", "chrom_boundary_prop", "manders_coloc_coeff")
 
 
-def chromatin_clumps(image: np.ndarray, lab: np.ndarray) -> np.ndarray:
-    """Dark clumps inside nuclei: pixels not above the first of two multi-Otsu thresholds."""
-    g = raster.gray(raster.rescale(image))
+def chromatin_clumps(image: np.ndarray, lab: np.ndarray, mask: np.ndarray | None = None, mean: float = 0.0, std: float = 1.0) -> np.ndarray:
+    """Dark clumps inside nuclei: pixels not above the first of two multi-Otsu thresholds, of intensities normalised by `mean` and `std`."""
+    _checked_shapes(image, lab, mask)
+    lab = _inside(lab, mask)
+    g = (raster.gray(raster.rescale(image)) - mean) / std
     v = g[lab > 0]
     if not v.size or v.min() == v.max():
         return np.zeros(lab.shape, bool)
@@ -148,46 +173,51 @@ def chromatin_clumps(image: np.ndarray, lab: np.ndarray) -> np.ndarray:
     return (lab > 0) & (z <= t)
 
 
-def chromatin_feats(image: np.ndarray, lab: np.ndarray, metrics=("chrom_area",), erode: bool = False) -> pd.DataFrame:
+def chromatin_feats(image: np.ndarray, lab: np.ndarray, metrics=("chrom_area",), erode: bool = False, mask: np.ndarray | None = None, mean: float = 0.0, std: float = 1.0) -> pd.DataFrame:
     if bad := [m for m in metrics if m not in CHROMATIN_METRICS]:
         raise ValueError(f"Illegal metrics {bad}. Choose from {CHROMATIN_METRICS}")
-    clumps, rows = chromatin_clumps(image, lab), {}
+    clumps, rows, lab = chromatin_clumps(image, lab, mask, mean, std), {}, _inside(lab, mask)
     if erode:
         clumps = raster.erode(clumps)
     g = raster.gray(raster.rescale(image))
-    for n in np.unique(lab[lab > 0]).tolist():
-        m = lab == n
-        c, rim = clumps & m, m & ~raster.erode(m)
+    for n, m, w in _objects(lab, 1):
+        c, rim = clumps[w] & m, m & ~raster.erode(m)
         every = {
             "chrom_area": c.sum(), "chrom_nuc_prop": c.sum() / m.sum(), "n_chrom_clumps": raster.label(c).max(), "chrom_boundary_prop": (c & rim).sum() / max(1, rim.sum()),
-            "manders_coloc_coeff": g[c].sum() / max(g[m].sum(), 1e-12),
+            "manders_coloc_coeff": g[w][c].sum() / max(g[w][m].sum(), 1e-12),
         }
         rows[n] = {k: float(every[k]) for k in metrics}
     return _frame(rows)
 
 
-def collagen_fibers(image: np.ndarray, lab: np.ndarray | None = None, sigma: float = 2.5, min_size: int = 25, rm_bg: bool = False, rm_fg: bool = False) -> np.ndarray:
-    """Edge mask of fibres: Canny edges without nuclei, background or dark parts, small ones dropped."""
+def collagen_fibers(image: np.ndarray, lab: np.ndarray | None = None, sigma: float = 2.5, min_size: int = 25, rm_bg: bool = False, rm_fg: bool = False, mask: np.ndarray | None = None) -> np.ndarray:
+    """Edge mask of fibres: Canny edges without nuclei, background or dark parts, small ones dropped; only where `mask` is positive."""
     edges = raster.canny(raster.gray(image.astype(float) / 255), sigma)
     if lab is not None:
         edges &= ~raster.dilate(lab > 0, 2)
     if rm_bg or rm_fg:
         bg, dark = raster.tissue_components(image, lab)
         edges &= ~(bg if rm_bg else np.zeros_like(bg)) & ~(dark if rm_fg else np.zeros_like(dark))
-    return raster.remove_small(edges, min_size - 1)
+    edges = raster.remove_small(edges, min_size - 1)
+    return edges if mask is None else edges & (mask > 0)
 
 
 FIBER_METRICS = ("length", "tortuosity", "average_turning_angle", "major_axis_len", "minor_axis_len", "major_axis_angle", "minor_axis_angle")
 
 
-def fiber_feats(image: np.ndarray, metrics=("length",), lab: np.ndarray | None = None, **kw) -> pd.DataFrame:
-    """Features of each fibre: pixel count, count over chord, mean turning angle in radians, rotated rectangle."""
+def fiber_feats(image: np.ndarray, metrics=("length",), lab: np.ndarray | None = None, normalize: bool = False, return_edges: bool = False, **kw) -> pd.DataFrame:
+    """Features of each fibre: pixel count, count over chord, mean turning angle in radians, rotated rectangle.
+
+    With `normalize`, average ranks in [0, 1] over the image; with `return_edges`, the outlines of the fibres (grown by a
+    pixel) as `rings`, a list of (n, 2) arrays. Other arguments are those of collagen_fibers.
+    """
     if bad := [m for m in metrics if m not in FIBER_METRICS]:
         raise ValueError(f"Illegal metrics {bad}. Choose from {FIBER_METRICS}")
-    l, rows = raster.label(collagen_fibers(image, lab, **kw)), {}  # noqa: E741
-    for n in range(1, l.max() + 1):
-        y, x = np.nonzero(l == n)
-        p = np.column_stack([x, y]).astype(float)
+    found = raster.label(collagen_fibers(image, lab, **kw))
+    rows, edges = {}, {}
+    for n, m, w in _objects(found, 1):
+        y, x = np.nonzero(m)
+        p = np.column_stack([x + w[1].start, y + w[0].start]).astype(float)
         box = planar.min_rotated_rectangle(p)
         a, b = box[1] - box[0], box[2] - box[1]
         a, b = (a, b) if np.hypot(*a) >= np.hypot(*b) else (b, a)
@@ -202,22 +232,33 @@ def fiber_feats(image: np.ndarray, metrics=("length",), lab: np.ndarray | None =
             "major_axis_len": float(np.hypot(*a)), "minor_axis_len": float(np.hypot(*b)), "major_axis_angle": fold(deg(a)), "minor_axis_angle": fold(deg(b)),
         }
         rows[n] = {k: every[k] for k in metrics}
-    return _frame(rows)
+        if return_edges:
+            parts = [r + [w[1].start, w[0].start] for poly in raster.trace(raster.dilate(m, 1)) for r in poly]
+            edges[n] = parts
+    out = _frame(rows)
+    if normalize and len(out):
+        spread = max(1, len(out) - 1)
+        out[list(metrics)] = (out[list(metrics)].rank(method="average") - 1) / spread
+    if return_edges:
+        out["rings"] = [edges[n] for n in out["label"]]
+    return out
+
 
+def stromal_intensity_feats(image: np.ndarray, lab: np.ndarray | None = None, metrics=("mean", "std"), quantiles=(0.25, 0.5, 0.75), n_bins: int = 32, hist_range: tuple[float, float] | None = None, mask: np.ndarray | None = None) -> pd.Series:
+    """Area and channel statistics ({stain}_{RGB}_{metric}) of the haematoxylin and eosin parts of an image outside nuclei, where `mask` is positive.
 
-def stromal_intensity_feats(image: np.ndarray, lab: np.ndarray | None = None, metrics=("mean", "std"), quantiles=(0.25, 0.5, 0.75)) -> pd.Series:
-    """Area and channel statistics of the haematoxylin and eosin parts of an image."""
+    Histograms go over `hist_range`, or over the part's own values.
+    """
+    _checked_shapes(image, lab, mask)
     eosin = raster.eosin_mask(image)
     hema = raster.hematoxylin_mask(image, eosin)
+    keep = np.ones(image.shape[:2], bool) if lab is None else lab == 0
+    keep &= True if mask is None else mask > 0
     out = {}
-    for stain, m in (("hematoxylin", hema), ("eosin", eosin)):
-        m = m if lab is None else m & (lab == 0)
+    for stain, m in (("hematoxylin", hema & keep), ("eosin", eosin & keep)):
         out[f"{stain}_area"] = float(m.sum())
         for k, c in enumerate("RGB"):
             v = image[..., k][m].astype(float)
-            for name in metrics:
-                if name == "quantiles":
-                    out |= {f"{stain}_{c}_quantile_{q:g}": float(np.quantile(v, q)) if v.size else 0.0 for q in quantiles}
-                else:
-                    out[f"{stain}_{c}_{name}"] = float(getattr(np, name)(v)) if v.size else 0.0
+            span = hist_range or ((v.min(), v.max()) if v.size else (0.0, 1.0))
+            out |= {f"{stain}_{c}_{name}": x for name, x in _statistics(v, metrics, quantiles, n_bins, span).items()}
     return pd.Series(out)

@@ -67,6 +67,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, *, r: float | None = None
         if open_.isEmpty():
             break
         r *= 2
+    else:
+        raise RuntimeError(f"points are still open after {most} radii: start with a larger r")
     return done
 
 

@@ -203,14 +203,22 @@ def relative_neighborhood_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fit_rel_nhood(X.points2d(spark, sf_dir)).where("focal < neighbor").select("focal", "neighbor")
 
 
-@query()
+# a pair is an edge if some circle through it holds no point: centres lie on the pair's bisector, and every other point bounds the place there from one side
+_DELAUNAY = f"""{_POINTS}, p as (select a.uid as a, b.uid as b, (a.x+b.x)/2 as mx, (a.y+b.y)/2 as my, b.x-a.x as dx, b.y-a.y as dy from points2d a join points2d b on a.uid < b.uid),
+t as (select a, b, dx, dy, (k.x-mx)*(-dy) + (k.y-my)*dx as s, (k.x-mx)*(k.x-mx) + (k.y-my)*(k.y-my) - (dx*dx+dy*dy)/4 as v from p join points2d k on k.uid <> a and k.uid <> b),
+d as (select a, b, sqrt(dx*dx+dy*dy) as dist from t group by a, b, dx, dy having coalesce(max(v/(2*s)) filter (where s < 0), -1e300) <= coalesce(min(v/(2*s)) filter (where s > 0), 1e300))
+select a as focal, b as neighbor, round(dist, 6) as dist from d union all select b, a, round(dist, 6) from d"""
+
+
+@query(f"with {_DELAUNAY}")
 def delaunay_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fit_delaunay(X.points2d(spark, sf_dir)).select("focal", "neighbor", *_r("dist"))
 
 
-@query()
+@query(f"with {_DELAUNAY}")
 def voronoi_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.fit_voronoi(X.clusters(spark, sf_dir)).select("focal", "neighbor", *_r("dist"))
+    """Contiguity of Voronoi cells."""
+    return graph.fit_voronoi(X.points2d(spark, sf_dir)).select("focal", "neighbor", *_r("dist"))
 
 
 @query(f"""with recursive {_CLUSTERS}, e as materialized (select a.uid as a, b.uid as b from clusters a join clusters b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400.0),
@@ -321,21 +329,33 @@ def quadbin_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.quadbin_grid(t, 16).select("cell_id", *[F.round(G.area(F.col("geometry")), 3).alias("area")])
 
 
-@query()
+@query(f"""with {_TISSUES}, k as (select *, unnest(range(cast(ceil(miny/150.0) as bigint), cast(floor(maxy/150.0) as bigint) + 1)) as r from tissues),
+c as (select *, unnest(range(cast(ceil(minx/(sqrt(3)*100) - r/2.0) as bigint), cast(floor(maxx/(sqrt(3)*100) - r/2.0) as bigint) + 1)) as q from k)
+select distinct q || ':' || r as cell_id, q, r from c where (q + r/2.0)*sqrt(3)*100 >= minx and (q + r/2.0)*sqrt(3)*100 < maxx and r*150.0 >= miny and r*150.0 < maxy""")
 def hex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.hex_grid(X.tissues(spark, sf_dir), 100.0).select("cell_id", "q", "r")
 
 
-@query()
+@query(f"""with recursive {_TISSUES}, t as (select * from tissues where class_name <> 'cin'), o as (select floor(min(minx)) - 20 as x0, floor(min(miny)) - 20 as y0 from t),
+k as (select unnest(range(cast(ceil((minx-x0)/256 - 1) as bigint), cast(floor((maxx-x0)/256) as bigint) + 1)) as c, miny, maxy, y0 from t, o),
+g as materialized (select distinct c, r, r*100000+c as n from (select c, unnest(range(cast(ceil((miny-y0)/256 - 1) as bigint), cast(floor((maxy-y0)/256) as bigint) + 1)) as r from k) where c >= 0 and r >= 0),
+e as materialized (select a.n as a, b.n as b from g a join g b on abs(a.c-b.c) <= 1 and abs(a.r-b.r) <= 1),
+w(node, comp) using key (node) as (select n, n from g union select e.a, min(w.comp) from w join e on e.b = w.node join recurring.w as x on x.node = e.a group by e.a having min(w.comp) < min(x.comp))
+select min(r) as first_row, max(r) as last_row, min(c) as first_col, max(c) as last_col, count(*) as n from w join g on g.n = w.node group by comp having count(*) > 4""")
 def sub_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected parts of a grid, with their extents."""
     g = grid.rect_grid(X.tissues(spark, sf_dir).withColumnRenamed("tissue_id", "uid").where("class_name <> 'cin'"), (256, 256))
-    return grid.get_sub_grids(g, 4).groupBy("component").agg(F.count("*").alias("n"))
+    parts = grid.get_sub_grids(g, 4).groupBy("component")
+    row, col = F.col("row").cast("long"), F.col("col").cast("long")
+    return parts.agg(F.min(row).alias("first_row"), F.max(row).alias("last_row"), F.min(col).alias("first_col"), F.max(col).alias("last_col"), F.count("*").alias("n")).drop("component")
 
 
-@query(f"with {_BOXES} select cast(sum(cast(floor(minx/64) as bigint)) as bigint) as sx, count(*) as n, round(min(sqrt(w*w+h*h)), 6) as d from boxes")
+@query(f"""with {_BOXES}, t as (select uid, cast(trunc(minx) as int) as x, cast(trunc(miny) as int) as y, cast(trunc(maxx-minx) as int) as w, cast(trunc(maxy-miny) as int) as h from boxes)
+select uid, x, y, w, h, (w*h)::double as area, (x+w)::double as maxx from t""")
 def xywh_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.cells(spark, sf_dir)
-    return c.agg(F.sum(F.floor(F.col("minx") / 64).cast("long")).alias("sx"), F.count("*").alias("n"), F.round(F.min(F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h"))), 6).alias("d"))
+    """Outlines to truncated boxes (x, y, w, h) and back."""
+    c = X.cells(spark, sf_dir).select("uid", grid.to_xywh(F.col("geometry")).alias("b")).withColumn("back", grid.from_xywh(F.col("b")))
+    return c.select("uid", "b.*", G.area(F.col("back")).alias("area"), G.bounds(F.col("back"))["maxx"].alias("maxx"))
 
 
 # ---- shapes and lines -----------------------------------------------------------------------
@@ -354,10 +374,11 @@ def shape_metrics_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_SHAPES} select uid, round(a/ha, 6) as solidity, round(greatest(w,h), 6) as major_axis_len, round(least(w,h), 6) as minor_axis_len, round(sqrt(1 - power(least(w,h)/greatest(w,h), 2)), 6) as eccentricity,
-round(a/(w*h), 6) as rectangularity, round(sqrt(a/(w*h))/(2*(w+h)/p), 6) as equivalent_rectangular_index, round(sqrt(a/pi())/(sqrt(w*w+h*h)/2), 6) as shape_index from s where k in (0, 3)""")
+round(a/(w*h), 6) as rectangularity, round(sqrt(a/(w*h))/(2*(w+h)/p), 6) as equivalent_rectangular_index, round(sqrt(a/pi())/(sqrt(w*w+h*h)/2), 6) as shape_index from s""")
 def shape_metrics_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of hull, smallest rectangle and bounding circle, of all shapes."""
     m = ("solidity", "major_axis_len", "minor_axis_len", "eccentricity", "rectangularity", "equivalent_rectangular_index", "shape_index")
-    return shape.shape_metric(X.shapes(spark, sf_dir).where("uid % 4 in (0, 3)"), m).select("uid", *_r(*m))
+    return shape.shape_metric(X.shapes(spark, sf_dir), m).select("uid", *_r(*m))
 
 
 @query(f"""with {_SHAPES}, q as (select quantile_cont(a, [0.25, 0.5, 0.75, 1.0]) as b from s), n as (select uid, a, (a - min(a) over ()) / (max(a) over () - min(a) over ()) as norm from s)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planarix import storage
 from planarix.functions import binning
 from planarix.functions import geometry as G
 from planarix.operators import cluster, graph, grid, nhood, objects, overlay, pixel, rasterise, shape
@@ -79,55 +82,54 @@ def lymphoid_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.join(centre, feats["labels"] == centre["uid"]).select("labels", "size", *_r("area", "dispersion", "orientation", "x", "y"), kind.alias("kind"), tissue.alias("nearest"), F.round(near, 4).alias("distance"))
 
 
-def _slide(spark: SparkSession, side: int = 256, tile: int = 128) -> DataFrame:
+def _slide(spark: SparkSession, side: int = 10_240, tile: int = 512) -> DataFrame:
+    """Tiles of a synthetic slide that spans all objects and tissues."""
     tiles.register(spark)
-    return spark.read.format("tiles").option("width", side * 2).option("height", side * 2).option("tile", tile).load()
+    return spark.read.format("tiles").option("width", side).option("height", side).option("tile", tile).load()
 
 
-def _nuclei(spark: SparkSession, side: int = 512) -> DataFrame:
-    """Objects under the synthetic slide's dark rectangles."""
-    g = spark.range((side // 48 + 1) ** 2).select(F.col("id").alias("uid"), (F.col("id") % (side // 48 + 1) * 48).cast("double").alias("x"), (F.floor(F.col("id") / (side // 48 + 1)) * 48).cast("double").alias("y"))
-    return g.select("uid", F.lit("neoplastic").alias("class_name"), G.box(F.col("x"), F.col("y"), F.col("x") + 16, F.col("y") + 16).alias("geometry"))
+def _stroma(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The slide's tiles that stroma annotations meet, and the tissue masks of those tiles."""
+    t = X.tissues(spark, sf_dir).select(F.col("tissue_id").alias("uid"), "class_name", "geometry")
+    images = rasterise.tiles_in_annotations(_slide(spark), t.where("class_name = 'stroma'"))
+    return images, rasterise.gdf2sem(t, images.select("tile_id", "x", "y", "w", "h"), {"stroma": 1, "cin": 2, "blood": 3, "squamous_epithelium": 4, "glandular_epithelium": 5})
 
 
 @query()
 def nuclear_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intensity, texture and chromatin of rasterised objects, tile by tile."""
+    """Intensity, texture and chromatin of all objects, rasterised tile by tile."""
     images = _slide(spark)
-    masks = rasterise.gdf2inst(_nuclei(spark), images.select("tile_id", "x", "y", "w", "h"))
+    masks = rasterise.gdf2inst(X.cells(spark, sf_dir), images.select("tile_id", "x", "y", "w", "h"))
 
     def feats(img: np.ndarray, label: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
         a, b, c = pixel.grayscale_feats(img, label, ("mean", "std", "median")), pixel.textural_feats(img, label, ("contrast",)), pixel.chromatin_feats(img, label, ("chrom_nuc_prop", "n_chrom_clumps"))
         if not len(a):
-            return pd.DataFrame(columns=["label", "mean", "std", "median", "contrast_d-1_a-0.00", "chrom_nuc_prop", "n_chrom_clumps"])
-        return a.merge(b, on="label").merge(c, on="label")
+            return pd.DataFrame(columns=["label", "mean", "std", "median", "contrast", "chrom_nuc_prop", "n_chrom_clumps"])
+        return a.merge(b, on="label").merge(c, on="label").rename(columns={"contrast_d-1_a-0.00": "contrast"})
 
-    out = rasterise.tile_features(images, masks, lambda img, label, mask: feats(img, label, mask).rename(columns={"contrast_d-1_a-0.00": "contrast"}), "label long, mean double, std double, median double, contrast double, chrom_nuc_prop double, n_chrom_clumps double")
+    out = rasterise.tile_features(images, masks, feats, "label long, mean double, std double, median double, contrast double, chrom_nuc_prop double, n_chrom_clumps double")
     return out.select("tile_id", "label", *_r("mean", "std", "median", "contrast", "chrom_nuc_prop"), "n_chrom_clumps")
 
 
 @query()
 def stroma_tile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tile features, min-max scaled and clustered by k-means with the best silhouette."""
+    """Features of stroma tiles outside nuclei, min-max scaled and clustered by k-means with the best silhouette."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 
-    images = _slide(spark)
-    masks = rasterise.gdf2inst(_nuclei(spark), images.select("tile_id", "x", "y", "w", "h"))
+    images, tissue = _stroma(spark, sf_dir)
+    masks = rasterise.gdf2inst(X.cells(spark, sf_dir), images.select("tile_id", "x", "y", "w", "h"))
 
     def feats(img: np.ndarray, label: np.ndarray, mask: np.ndarray) -> pd.Series:
-        s = pixel.stromal_intensity_feats(img, label, ("mean",))
-        return pd.Series({"h_area": s["hematoxylin_area"], "e_area": s["eosin_area"], "e_red": s["eosin_R_mean"], "nuclei": float((label > 0).sum())})
+        s = pixel.stromal_intensity_feats(img, label, ("mean",), mask=mask == 1)
+        return pd.Series({"h_area": s["hematoxylin_area"], "e_area": s["eosin_area"], "e_red": s["eosin_R_mean"], "nuclei": float(((label > 0) & (mask == 1)).sum()), "stroma": float((mask == 1).mean())})
 
-    rows = rasterise.tile_features(images, masks, feats, "h_area double, e_area double, e_red double, nuclei double")
-    from planarix import storage
-
-    rows = storage.materialise(rows, "tile-features")
-    data = VectorAssembler(inputCols=["h_area", "e_area", "e_red", "nuclei"], outputCol="raw").transform(rows)
-    data = MinMaxScaler(inputCol="raw", outputCol="features").fit(data).transform(data).select("tile_id", "features")
+    rows = storage.materialise(rasterise.tile_features(images, masks, feats, "h_area double, e_area double, e_red double, nuclei double, stroma double", tissue), "tile-features")
+    data = VectorAssembler(inputCols=["h_area", "e_area", "e_red", "nuclei", "stroma"], outputCol="raw").transform(rows)
+    data = storage.materialise(MinMaxScaler(inputCol="raw", outputCol="features").fit(data).transform(data).select("tile_id", "features"), "scaled")
     best = None
-    for k in (3, 4, 5):
+    for k in range(3, 12):
         made = KMeans(k=k, seed=42).fit(data).transform(data)
         score = ClusteringEvaluator().evaluate(made) if made.select("prediction").distinct().count() > 1 else -1.0
         if best is None or score > best[0]:
@@ -137,17 +139,18 @@ def stroma_tile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fibre_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of fibre angles in each tile, and its quartile."""
-    images = _slide(spark)
+    """Entropy of fibre angles in each stroma tile, and its quartile."""
+    images, tissue = _stroma(spark, sf_dir)
 
     def feats(img: np.ndarray, label: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
-        return pixel.fiber_feats(img, ("major_axis_angle", "length"), sigma=1.0, min_size=8)
+        return pixel.fiber_feats(img, ("major_axis_angle", "length"), sigma=1.0, min_size=8, mask=mask == 1).reindex(columns=["label", "major_axis_angle", "length"])
 
     masks = images.select("tile_id", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("dtype"))
-    rows = rasterise.tile_features(images, masks, lambda img, label, mask: feats(img, label, mask).reindex(columns=["label", "major_axis_angle", "length"]), "label long, major_axis_angle double, length double")
+    rows = rasterise.tile_features(images, masks, feats, "label long, major_axis_angle double, length double", tissue)
     bins = rows.groupBy("tile_id", F.floor(F.col("major_axis_angle") / 10).alias("b")).agg(F.count("*").cast("double").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("tile_id"))
     ent = bins.withColumn("p", p).groupBy("tile_id").agg(F.round(F.abs(F.sum(-F.col("p") * F.log("p"))), 6).alias("entropy"), F.sum("n").cast("long").alias("fibres"))
+    ent = storage.materialise(ent, "entropy")
     bounds = binning.classify(ent, "entropy", "quantiles", 4)
     return ent.withColumn("quartile", binning.bin_index(F.col("entropy"), bounds or [0.0]))
 
@@ -155,11 +158,11 @@ def fibre_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def raster_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects burnt into tiles, traced again and stitched across tile borders."""
-    t = _slide(spark, 256, 100).select("tile_id", "x", "y", "w", "h")
-    inst = rasterise.gdf2inst(_nuclei(spark), t)
+    t = _slide(spark, tile=500).select("tile_id", "x", "y", "w", "h")
+    inst = rasterise.gdf2inst(X.cells(spark, sf_dir), t)
     back = rasterise.inst2gdf(inst, min_size=0)
-    named = back.join(t.withColumnsRenamed({"x": "tx", "y": "ty", "w": "tw", "h": "th"}), "tile_id").withColumn("uid", F.xxhash64("tile_id", "uid"))
-    return overlay.merge_instances(named, edge_tolerance=1.0).select("class_name", "n_parts", F.round(G.area(F.col("geometry")), 2).alias("area"))
+    named = back.join(t.withColumnsRenamed({"x": "tx", "y": "ty", "w": "tw", "h": "th"}), "tile_id").withColumn("uid", F.xxhash64("tile_id", "uid", "geometry"))
+    return overlay.merge_instances(storage.materialise(named, "traced"), edge_tolerance=1.0).select("class_name", "n_parts", F.round(G.area(F.col("geometry")), 2).alias("area"))
 
 
 @query()
@@ -189,12 +192,14 @@ def medial_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "uid", "left")
 
 
-@query(f"""with {_CELLS} select class_name, count(*) as n, round(sum(w*h), 4) as area from cells where uid % 50 = 0 group by class_name""")
+@query(f"""with {_SHAPES} select class_name, count(*) as n, round(sum(a), 4) as area, round(sum(p), 4) as length from s join cells using (uid) group by class_name""")
 def wkb_and_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geometry through WKB and back, summarised."""
-    c = X.cells(spark, sf_dir).where("uid % 50 = 0").select("uid", "class_name", "geometry")
-    back = vector.decode_wkb(vector.encode_wkb(c))
-    return back.groupBy("class_name").agg(F.count("*").alias("n"), F.round(F.sum(G.area(F.col("geometry"))), 4).alias("area"))
+    """Geometry through WKB and GeoJSON files and back, summarised."""
+    c = X.shapes(spark, sf_dir).select("uid", "class_name", "geometry")
+    path = f"{storage.shared_dir(spark)}/geojson-{uuid.uuid4().hex}"
+    vector.write_vector(vector.decode_wkb(vector.encode_wkb(c)).drop("part"), path, "geojson")
+    back = vector.read_geojson(spark, path, "uid long, class_name string")
+    return back.groupBy("class_name").agg(F.count("*").alias("n"), F.round(F.sum(G.area(F.col("geometry"))), 4).alias("area"), F.round(F.sum(G.length(F.col("geometry"))), 4).alias("length"))
 
 
 @query("select date_trunc('hour', ts) as start, cast(floor(value/10) as bigint) as cx, cast(floor(event_id % 97 / 10) as bigint) as cy, count(*) as n from events group by all")

@@ -199,7 +199,7 @@ def test_nearest_tissue_both_ways(spark, points):
 
 def test_permutations_are_bijections(spark):
     for n in (1, 2, 3, 17, 100, 1000):
-        got = spark.range(n).select(stats._permuted(F.col("id"), n, F.lit(7), F.lit(1)).alias("p"), stats._permuted(F.col("id"), n, F.lit(7), F.lit(2)).alias("q")).collect()
+        got = spark.range(n).select(stats._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(7), F.lit(1)).alias("p"), stats._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(7), F.lit(2)).alias("q")).collect()
         assert sorted(r.p for r in got) == sorted(r.q for r in got) == list(range(n))
     assert [r.p for r in got] != [r.q for r in got]
     assert abs(np.corrcoef([r.p for r in got], range(1000))[0, 1]) < 0.12
