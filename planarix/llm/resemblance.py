@@ -4,11 +4,12 @@ Candidates come from min-hash bands and are then decided on the whole shingle se
 link is exact. A pair of similarity s shares none of the 32 bands of 5 min-hashes with
 probability (1 - s^5)^32: 3e-6 at 0.8, less above.
 
-A bucket never yields all its pairs at once. In the buckets of a few bands every member is held
-against one of them; what these link is one component. Then, over all bands, the members of a bucket's
-smaller components are held against one of its largest, twice with different ones. Only then
-are pairs tried one by one, and only across the components left in a bucket: each has a member
-outside the largest one, so a large group of copies costs about its size.
+No bucket yields its pairs. In the buckets of a few bands every member is held against one of
+them; what these link is one component. Then, over all bands, the members of a bucket's smaller
+components are held against one of its largest. What is still apart is compared in blocks, inside Arrow
+batches that return links only: nodes outside a bucket's largest component with the whole of that
+component, each of its members once, and with each other. So a large group of copies costs about
+its size.
 
 Shingle sets are made for the texts in shared buckets alone, from their texts; signatures of all texts
 are written, sets aren't.
@@ -16,6 +17,8 @@ are written, sets aren't.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +29,8 @@ from planarix.llm import arrow
 from planarix.operators.components import components
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 32, 5
-#: Bands whose buckets are tried first.
-FEW = 4
+#: Bands whose buckets are tried first, and nodes that are compared together.
+FEW, BLOCK = 4, 512
 _SEEDS = arrow.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 _FACTOR, _ADD = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -112,6 +115,56 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return keyed.join(shared.hint("merge"), "key")
 
 
+def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes (g, node) of both sides with equal g that are at least so similar.
+
+    Each side of a group is cut into blocks of about BLOCK nodes by hash, and every two blocks meet once: a
+    task holds a block, however large the group.
+    """
+
+    def blocks(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        n = side.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n{name}"))
+        return side.join(n.hint("merge"), "g").withColumn(name, F.pmod(F.hash("node"), F.col(f"n{name}"))).drop(f"n{name}"), n
+
+    (one, n_one), (two, n_two) = blocks(left, "i"), blocks(right, "j")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = one.join(n_two.hint("merge"), "g").select("g", "i", each("nj").alias("j"), F.lit(0).alias("side"), "node")
+    two = two.join(n_one.hint("merge"), "g").select("g", each("ni").alias("i"), "j", F.lit(1).alias("side"), "node")
+    rows = one.unionByName(two).join(sets.hint("merge"), "node")
+    dealt = rows.repartition(storage.partitions(sets.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, nodes, held, flat, at, size = None, [], [], None, None, None
+        for batch in batches:
+            keys = zip(*(arrow.column(batch, c).to_pylist() for c in ("g", "i", "j")), strict=True)
+            side, node = (arrow.column(batch, c).to_numpy(zero_copy_only=False) for c in ("side", "node"))
+            lists = arrow.column(batch, "shingles")
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            found: list[tuple[int, int]] = []
+            for n, key in enumerate(keys):
+                one = values[ends[n] : ends[n + 1]]
+                if key != open_:
+                    open_, nodes, held, flat = key, [], [], None
+                if side[n] == 0:
+                    nodes.append(int(node[n]))
+                    held.append(np.sort(one))
+                    continue
+                if not held:
+                    continue
+                if flat is None:
+                    flat, size = np.concatenate(held), np.array([len(h) for h in held])
+                    at = np.cumsum(size) - size
+                one = np.sort(one)
+                spot = np.searchsorted(one, flat).clip(max=len(one) - 1)
+                both = np.add.reduceat((one[spot] == flat).astype(np.int64), at)
+                hit = np.flatnonzero(both >= least * (size + len(one) - both))
+                found += [(nodes[h], int(node[n])) for h in hit if nodes[h] != node[n]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def links(members: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """(node, component) of the nodes in buckets that have another within `least`; component is the smallest node reachable.
 
@@ -119,34 +172,43 @@ def links(members: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
     """
     close = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    tried = found = placed = None
-    for turn in range(4):
-        if placed is None:
-            now = members.where(F.col("band") < FEW).withColumn("component", F.col("node"))
-        else:
-            now = members.join(placed.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-            now = storage.materialise(now.join(open_.hint("merge"), "key"), "open")
-            if now.isEmpty():
-                storage.release(now)
-                break
-            sizes = now.groupBy("key", "component").agg(F.count("*").alias("c"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("l")).select("key", F.col("l.component").alias("big"))
-            now = now.join(largest.hint("merge"), "key")
-        if turn < 3:  # against one of the bucket or, once components are known, of its largest
-            leader = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")
-            lead = now.where("component = big") if turn else now
-            lead = lead.groupBy("key").agg(F.min(leader).alias("l"))
-            other = lead.select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"), F.col("l.component").alias("its"))
-        else:  # all pairs across components have a member outside the bucket's largest
-            other = now.where("component <> big").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
-        pairs = now.join(other.hint("merge"), "key").where((F.col("component") != F.col("its")) & close).select(*pair).distinct()
-        pairs = storage.materialise(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        new = storage.materialise(_decide(pairs, sets, least), "links")
-        found = new if found is None else found.unionAll(new)
-        placed = storage.materialise(components(found), "placed")
-    return placed
+
+    def open_buckets(placed: DataFrame) -> DataFrame | None:
+        """Members of buckets that hold several components, with their own and their bucket's largest."""
+        now = members.join(placed.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = now.groupBy("key", "component").agg(F.count("*").alias("c"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("l"), F.count("*").alias("k")).where("k > 1").select("key", F.col("l.component").alias("big"))
+        now = storage.materialise(now.join(largest.hint("merge"), "key"), "open")
+        return None if now.isEmpty() else now
+
+    def against_one(now: DataFrame, leaders: DataFrame) -> DataFrame:
+        leader = F.struct(F.xxhash64("node").alias("h"), "node", "n", "component")
+        lead = leaders.groupBy("key").agg(F.min(leader).alias("l")).select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"), F.col("l.component").alias("its"))
+        pairs = now.join(lead.hint("merge"), "key").where((F.col("component") != F.col("its")) & close).select(*pair).distinct()
+        return storage.materialise(_decide(pairs, sets, least), "links")
+
+    few = members.where(F.col("band") < FEW).withColumn("component", F.col("node"))
+    found = against_one(few, few)
+    placed = storage.materialise(components(found), "placed")
+    now = open_buckets(placed)
+    if now is None:
+        return placed
+    found = found.unionAll(against_one(now, now.where("component = big")))
+    placed = storage.materialise(components(found), "placed")
+    now = open_buckets(placed)
+    if now is None:
+        return placed
+    other = now.where("component <> big")
+    whole = placed.select(F.col("component").alias("g"), "node")
+    alone = other.select(F.col("big").alias("g")).distinct().join(placed.select(F.col("component").alias("g")).distinct().hint("merge"), "g", "left_anti")
+    whole = whole.unionByName(alone.select("g", F.col("g").alias("node")))
+    aside = other.select(F.col("big").alias("g"), "node").distinct()
+    apart = other.select(F.col("key").alias("g"), "node")
+    several = apart.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    apart = apart.join(several.hint("merge"), "g")
+    wanted = aside.select("g").distinct()
+    more = _compare(aside, whole.join(wanted.hint("merge"), "g", "left_semi"), sets, least).unionAll(_compare(apart, apart, sets, least))
+    return storage.materialise(components(found.unionAll(storage.materialise(more, "links"))), "placed")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:

@@ -54,6 +54,28 @@ def test_near_copies(spark, rows):
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(plain_components(rows), key=str)
 
 
+def chained_rows():
+    """Texts that share four fifths with their neighbours only: buckets hold several components' members for long."""
+    rnd = random.Random(8)
+    out = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(25):
+            words = list(base)
+            for _ in range(rnd.choice([1, 1, 2, 3, 5])):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+            out.append((len(out), " ".join(words), "en", "a", 1))
+    return out
+
+
+@pytest.mark.parametrize("rows", [edited_rows(), chained_rows()])
+def test_near_copies_in_small_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(resemblance, "BLOCK", 3)
+    monkeypatch.setattr(resemblance, "FEW", 1)
+    got = resemblance.near_copies(cases.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(plain_components(rows))
+
+
 def test_pipeline_drops_near_copies(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -118,25 +118,72 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
+def keyed(rows):
+    """Rows as comparable tuples, also where values are missing."""
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage against a plain version, over hard cases and columns named as operators name their results."""
     import corpus_pipeline as cp
-    from tests.llm.test_dedup import plain_classes, plain_fingerprint
+    from planarix.llm import toxicity
+    from tests.llm.test_resemblance import plain_components
 
     base = str(tmp_path)
-    cases.frame(spark).write.parquet(f"{base}/documents.parquet")
+    cases.frame(spark, extra=True).write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(200, 260)], "doc_id long, toxic int").write.parquet(f"{base}/labels.parquet")
     docs = spark.read.parquet(f"{base}/documents.parquet")
+    everything = docs.collect()
+    text = docs.columns.index("text")
+
+    # toxicity: the rows whose own score is below a half
+    labels = spark.read.parquet(f"{base}/labels.parquet").where(~queries.held_out())
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels))
     kept = cp.drop_toxic(spark, docs, base)
-    assert kept.columns == docs.columns and kept.count() > 100
+    assert kept.columns == docs.columns and keyed(kept.collect()) == keyed(r for r in everything if scorer.score(r["text"] or "") < 0.5)
+
+    # exact copies: one row a text, of the largest identifier
     exact = cp.drop_exact_copies(spark, docs, base)
-    bodies = [(r["text"] or "").encode().lower() for r in exact.collect()]
-    assert set(bodies) == {(r[1] or "").encode().lower() for r in cases.rows()} and len(bodies) == len(set(bodies)) + 1  # row 8 is there twice
-    near = cp.drop_near_copies(spark, exact, base).collect()
-    prints = [(plain_fingerprint(r["text"]), r["doc_id"]) for r in exact.collect()]
-    assert {r["doc_id"] for r in near} == set(plain_classes(prints, 2).values())
+    best = {}
+    for r in everything:
+        body = (r[text] or "").encode().lower()
+        if body not in best or (r["doc_id"] is not None and (best[body] is None or r["doc_id"] > best[body])):
+            best[body] = r["doc_id"]
+    found = exact.collect()
+    assert exact.columns == docs.columns and sorted(((r["text"] or "").encode().lower(), r["doc_id"]) for r in found if r["doc_id"] is not None) == sorted((b, i) for b, i in best.items() if i is not None)
+    assert len(found) == len(best) and all(tuple(r) in set(map(tuple, everything)) for r in found)
+
+    # near copies: the smallest identifier of each group, of all pairs
+    near = cp.drop_near_copies(spark, exact, base)
+    rows = [tuple(r) for r in found]
+    want = [r for r, (i, c) in zip(rows, plain_components(rows), strict=True) if i == c]
+    assert near.columns == docs.columns and keyed(near.collect()) == keyed(want)
+
+    # mixing: every document as often as the mix says
     mixed = cp.mix_sources(spark, docs, base)
-    assert mixed.columns == docs.columns
+    times = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix(docs).collect()}
+    want = [r for r in everything for _ in range(times[r["doc_id"], r["source"]])]
+    assert mixed.columns == docs.columns and keyed(mixed.collect()) == keyed(want)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in everything:
+        sizes[r["source"]] += words(r["text"])
+    for r in want:
+        taken[r["source"]] += words(r["text"])
+    assert all(abs(taken[s] - t) <= max(words(r["text"]) for r in everything if r["source"] == s) for s, t in plain_targets(sizes).items())
+
+
+def test_pipeline_runs(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = str(tmp_path)
+    cases.frame(spark).write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(200, 260)], "doc_id long, toxic int").write.parquet(f"{base}/labels.parquet")
     out = cp.run(spark, base)
     assert out.where("not round_trip").count() == 0 and out.count() > 0
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, base).collect(), docs.schema)
+    assert out.groupBy("doc_id").count().exceptAll(docs.groupBy("doc_id").count()).count() == 0 and out.count() == docs.count(), name
     cases.frame(spark, []).write.mode("overwrite").parquet(f"{base}/documents.parquet")
     assert cp.run(spark, base).count() == 0
