@@ -10,7 +10,9 @@ from planarix.operators import components
 from tests.llm import cases
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rnd = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rnd.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2000 + i) for i in range(50)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
