@@ -130,8 +130,11 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
     key = F.struct("id", "h")
-    # at most DRAWN keys a range come to the driver
-    drawn = base.select(key.alias("k")).orderBy(F.xxhash64("k.id", "k.h", F.lit("drawn")), "k").limit(DRAWN * parts).collect() if parts > 1 else []
+    # about DRAWN keys a range come to the driver: those whose hash is low enough, each once
+    wanted, total = DRAWN * parts, max(1, docs.count()) if parts > 1 else 1
+    share = min(1.0, (wanted + 6 * wanted**0.5) / total)
+    low = F.shiftrightunsigned(F.xxhash64("id", "h", F.lit("drawn")), 11) / F.lit(float(1 << 53)) < F.lit(share)
+    drawn = base.select("id", "h").where(low).distinct().select(key.alias("k")).collect() if parts > 1 else []
     order = lambda k: (k["id"] is not None, k["id"] if k["id"] is not None else 0, k["h"])
     line = sorted((r["k"] for r in drawn), key=order)
     cuts = [line[len(line) * i // parts] for i in range(1, parts)] if line else []
