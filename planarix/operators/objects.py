@@ -49,17 +49,18 @@ def drop_duplicate_geometries(df: DataFrame, id_col: str = "uid") -> DataFrame:
     return kept.select(*["geometry" if c == "geometry" else F.col("__first")[c].alias(c) for c in df.columns])
 
 
-def get_objs(area: DataFrame, objects: DataFrame, predicate: str = "intersects", *, id_col: str = "uid", distance: float = 0.0) -> DataFrame:
-    """Objects o with area.predicate(o) for at least one area; geometric duplicates dropped."""
+def get_objs(area: DataFrame, objects: DataFrame, predicate: str = "intersects", *, id_col: str = "uid", distance: float = 0.0, unique: bool = True) -> DataFrame:
+    """Objects o with area.predicate(o) for at least one area; geometric duplicates dropped, unless not `unique`."""
     areas = area.select("geometry").withColumn("__area", F.monotonically_increasing_id())
     hits = J.predicate_pairs(areas, objects, predicate, left_id="__area", right_id=id_col, distance=distance)
-    return drop_duplicate_geometries(objects.join(hits.select(id_col).distinct(), id_col, "left_semi"), id_col)
+    found = objects.join(hits.select(id_col).distinct(), id_col, "left_semi")
+    return drop_duplicate_geometries(found, id_col) if unique else found
 
 
-def interface_members(area1: DataFrame, area2: DataFrame, objects: DataFrame, buffer_dist: float = 200.0, *, id_col: str = "uid") -> DataFrame:
+def interface_members(area1: DataFrame, area2: DataFrame, objects: DataFrame, buffer_dist: float = 200.0, *, id_col: str = "uid", unique: bool = True) -> DataFrame:
     """Objects in area2 no further than `buffer_dist` from area1: the interface query without cutting polygons."""
-    inside = get_objs(area2, objects, "contains", id_col=id_col)
-    return get_objs(area1, inside, "dwithin", id_col=id_col, distance=buffer_dist)
+    inside = get_objs(area2, objects, "contains", id_col=id_col, unique=unique)
+    return get_objs(area1, inside, "dwithin", id_col=id_col, distance=buffer_dist, unique=unique)
 
 
 def col_norm(df: DataFrame, col: str, method: str = "quantile", out: str | None = None, parts: int | None = None) -> DataFrame:

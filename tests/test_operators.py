@@ -252,3 +252,11 @@ def test_dissolve_merge_and_overlay(spark):
     assert rest.select(G.area(F.col("geometry"))).first()[0] == pytest.approx(50)
     ring = overlay.get_interfaces(df.where("uid = 0"), df.where("uid = 1"), 4.0).select(F.sum(G.area(F.col("geometry")))).first()[0]
     assert ring == pytest.approx(40, rel=0.02)
+
+
+def test_get_objs_keeps_equal_geometries_of_different_ids(spark):
+    one = G.box(F.lit(0), F.lit(0), F.lit(1), F.lit(1))
+    objs = spark.range(4).select(F.col("id").alias("uid"), one.alias("geometry"))
+    area = spark.range(2).select(G.box(F.lit(-5), F.lit(-5), F.lit(5), F.lit(5)).alias("geometry"))
+    assert sorted(r.uid for r in objects.get_objs(area, objs, "contains", unique=False).collect()) == [0, 1, 2, 3]
+    assert sorted(r.uid for r in objects.interface_members(area, area, objs, 1.0, unique=False).collect()) == [0, 1, 2, 3]
