@@ -196,3 +196,20 @@ def test_shared_folder_must_be_named_on_clusters(spark):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         storage.shared_dir(Session)
+
+
+def test_rings_of_different_lengths_reach_pandas(spark):
+    """Polygons with a hole of other length than the shell: burnt, dissolved, cut, buffered and stitched."""
+    ring = lambda p: F.array(*[G.xy(F.lit(float(x)), F.lit(float(y))) for x, y in (*p, p[0])])
+    holed = lambda x: G.polygon(ring([(x, 0), (x + 10, 0), (x + 10, 10), (x, 10)]), ring([(x + 3, 3), (x + 7, 3), (x + 5, 7)]))
+    df = spark.range(1).select(F.lit(1).cast("long").alias("uid"), F.lit("a").alias("class_name"), holed(0).alias("geometry"))
+    df = df.unionAll(spark.range(1).select(F.lit(2).cast("long"), F.lit("a"), holed(10)))
+    size = lambda d: sum(r[0] for r in d.select(G.area(F.col("geometry"))).collect())
+    tiles = spark.createDataFrame([(0, 0, 0, 20, 10)], "tile_id long, x int, y int, w int, h int")
+    burnt = rasterise.tile_array(rasterise.gdf2inst(df, tiles).first())
+    assert set(np.unique(burnt)) == {0, 1, 2} and (burnt[:, :10] == 1).sum() < 100
+    assert size(overlay.dissolve(df)) == pytest.approx(184)
+    assert size(overlay.overlay(df, df.where("uid = 2").withColumn("uid", F.lit(9).cast("long")), "difference")) == pytest.approx(92)
+    assert size(overlay.buffer(df, 1.0)) > 200
+    cut = df.withColumns({"tx": (F.col("uid") - 1).cast("int") * 10, "ty": F.lit(0), "tw": F.lit(10), "th": F.lit(10)})
+    assert size(overlay.merge_instances(cut, edge_tolerance=1.0)) == pytest.approx(184, abs=2)
