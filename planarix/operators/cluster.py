@@ -4,41 +4,43 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planarix import storage
 from planarix.functions import geometry as G
 from planarix.kernels import density, planar
+from planarix.operators import band
 from planarix.operators import spatial_join as J
-from planarix.operators.components import components
 from planarix.operators.objects import centroids
 
 METHODS = ("dbscan", "adbscan", "optics", "hdbscan")
 
 
 def dbscan(df: DataFrame, eps: float = 350.0, min_samples: int = 30, *, id_col: str = "uid") -> DataFrame:
-    """(id, label): DBSCAN as joins. Cores have at least `min_samples` points within eps, themselves included;
+    """(id, label): DBSCAN tile by tile, without a table of pairs. Cores have at least `min_samples` points within eps, themselves included;
     clusters are components of cores; a border point takes the smallest adjacent label; noise is -1.
     Labels count clusters by their smallest core id.
     """
-    c = storage.materialise(centroids(df, id_col), "points")
-    pairs = storage.materialise(J.distance_pairs(c, c, eps).select("a", "b"), "pairs")
-    core = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    core = storage.materialise(core, "cores")
-    of_core = pairs.join(core.withColumnRenamed("id", "b"), "b", "left_semi")  # (any, core)
-    both = of_core.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
-    found = core.join(components(both.where("a < b")), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
-    found = storage.materialise(found, "found")
+    c = centroids(df, id_col)
+    points = storage.materialise(band.reduce(c, eps, "core boolean", lambda near: [near.near.sum(1) >= min_samples], keep=["id", "x", "y"]), "points")
+    found = storage.materialise(band.components(points.where("core"), eps).withColumnRenamed("node", "id"), "found")
     # clusters in order of their smallest core
     first = found.select("component").distinct()
     from planarix.operators.objects import set_uid
 
     labels = set_uid(first, ["component"], id_col="label") if not first.isEmpty() else first.withColumn("label", F.lit(0).cast("long"))
-    core_label = found.join(labels, "component").select("id", "label")
-    border = of_core.join(core_label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("border"))
-    out = c.select("id").join(core_label, "id", "left").join(border, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("label", "border", F.lit(-1)).cast("int").alias("labels"))
+    placed = storage.materialise(points.join(found.join(labels, "component").select("id", "label"), "id", "left"), "placed")
+
+    def least(near: band.Near) -> list:
+        got = np.where(near.near, np.nan_to_num(near.columns["label"][near.of].astype(float), nan=np.inf), np.inf).min(1)
+        none = np.isinf(got)
+        return [pa.array(np.where(none, 0, got).astype(np.int64), mask=none)]
+
+    border = band.reduce(placed.select("*"), eps, "border bigint", least, keep=["id"], ask=~F.col("core"))
+    out = placed.where("core").select("id", "label").unionAll(border)
+    return out.select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast("int").alias("labels"))
 
 
 def density_clustering(df: DataFrame, eps: float = 350.0, min_samples: int = 30, method: str = "dbscan", *, id_col: str = "uid", by: list[str] | None = None, **options) -> DataFrame:
