@@ -43,6 +43,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 or more over 5-word shingles, the document with the smallest identifier.
 
+    SimHash fingerprints and their covering tables give the candidates, the whole shingle sets decide.
     Texts without words are one group. Null identifiers stay only where their group has no other. Rows
     that repeat identifier and text share their fate.
     """

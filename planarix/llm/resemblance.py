@@ -1,17 +1,15 @@
-"""Near copies by exact resemblance: texts whose sets of word shingles have a Jaccard similarity of `least` or more.
+"""Near copies by SimHash, decided exactly: texts whose sets of word shingles have a Jaccard similarity of `least` or more.
 
-Candidates come from min-hash bands and are then decided on the whole shingle sets, so every
-link is exact. A pair of similarity s shares none of the 32 bands of 5 min-hashes with
-probability (1 - s^5)^32: 3e-6 at 0.8, less above.
+Candidates are the groups that SimHash fingerprints and their covering tables give (`covering`); links
+between their members are then decided on the whole shingle sets, so every link is exact.
 
-No bucket yields its pairs. In the buckets of a few bands every member is held against one of
-them; what these link is one component. Then, over all bands, the members of a bucket's smaller
-components are held against one of its largest. What is still apart is compared in blocks, inside Arrow
-batches that return links only: nodes outside a bucket's largest component with the whole of that
-component, each of its members once, and with each other. So a large group of copies costs about
-its size.
+No group yields its pairs. Every member is held against a few of its group; what these link is one component. Then the
+members of a group's smaller components are held against some of its largest. What is still apart is
+compared in blocks, inside Arrow batches that return links only: nodes outside a group's largest
+component with the whole of that component, each of its members once, and with each other. So a large
+group of copies costs about its size.
 
-Shingle sets are made for the texts in shared buckets alone, from their texts; signatures of all texts
+Shingle sets are made for the texts in shared groups alone, from their texts; fingerprints of all texts
 are written, sets aren't.
 """
 
@@ -25,14 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planarix import storage
-from planarix.llm import arrow
+from planarix.llm import arrow, covering
 from planarix.operators.components import components
 
-SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 32, 5
-#: Bands whose buckets are tried first, and nodes that are compared together.
+SHINGLE, LEAST = 5, 0.8
+#: Members that a whole group is held against at a time, and nodes that are compared together.
 FEW, BLOCK = 4, 512
-_SEEDS = arrow.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
-_FACTOR, _ADD = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -51,42 +47,21 @@ def shingle_sets(col: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of BANDS keys for each set, none of which is empty."""
-    low = np.empty((len(sets), BANDS * ROWS), np.uint64)
-    i = 0
-    while i < len(sets):
-        j, held = i, 0
-        while j < len(sets) and (j == i or held + len(sets[j]) <= 1 << 16):
-            held += len(sets[j])
-            j += 1
-        flat = np.concatenate(sets[i:j])
-        at = np.cumsum([0, *(len(s) for s in sets[i : j - 1])])
-        for k in range(BANDS * ROWS):
-            low[i:j, k] = np.minimum.reduceat(flat * _FACTOR[k] + _ADD[k], at)
-        i = j
-    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), 1))
-    for r in range(ROWS):
-        keys = arrow.mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, r::ROWS])
-    return keys
-
-
 def _node(sets: list[np.ndarray]) -> np.ndarray:
     """One number for each different set."""
     return np.array([arrow.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
 
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, t, node, n, keys): texts of equal shingle sets are one node; node 0 has no words and no keys."""
+    """(id, t, node, n, print): texts of equal shingle sets are one node; node 0 has no words."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = shingle_sets(arrow.column(batch, "body"), shingle)
-        some = [s for s in sets if len(s)]
-        keys = band_keys(some).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
-        ends = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)])
-        return [pa.array(_node(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))]
+        prints = np.array([covering.fingerprint(s) for s in sets], np.uint64).reshape(-1, covering.WORDS)
+        ends = np.arange(len(sets) + 1, dtype=np.int32) * covering.WORDS
+        return [pa.array(_node(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(prints.ravel().view(np.int64)))]
 
-    return arrow.with_columns(docs, "node bigint, n bigint, keys array<bigint>", compute, ["id", "t"])
+    return arrow.with_columns(docs, "node bigint, n bigint, print array<bigint>", compute, ["id", "t"])
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -108,9 +83,15 @@ def _decide(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(band, key, node, n): members of the buckets that two nodes (node, n, keys) share."""
-    keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+def buckets(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """(key, node, n): members of the groups that two nodes (node, n, print) share.
+
+    Sets that no different set can be similar enough to, being too small, are left out.
+    """
+    able = storage.materialise(nodes.where(F.col("n") >= F.lit(least) * (F.col("n") + 1)).dropDuplicates(["node"]), "nodes")
+    placed = covering.groups(able.select("print").distinct()).select(F.col("node").alias("p"), "component")
+    first = able.select("node", "n", F.col("print")[0].alias("p"))
+    keyed = first.join(placed.hint("merge"), "p", "left").select(F.coalesce("component", "p").alias("key"), "node", "n")
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     return keyed.join(shared.hint("merge"), "key")
 
@@ -166,7 +147,7 @@ def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, least: float) -
 
 
 def links(members: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, component) of the nodes in buckets that have another within `least`; component is the smallest node reachable.
+    """(node, component) of the nodes in groups that have another within `least`; component is the smallest node reachable.
 
     `members` is what `buckets` gives; `sets` has (node, shingles) of the same nodes, one row each.
     """
@@ -174,26 +155,27 @@ def links(members: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
 
     def open_buckets(placed: DataFrame) -> DataFrame | None:
-        """Members of buckets that hold several components, with their own and their bucket's largest."""
+        """Members of groups that hold several components, with their own and their group's largest."""
         now = members.join(placed.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = now.groupBy("key", "component").agg(F.count("*").alias("c"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("l"), F.count("*").alias("k")).where("k > 1").select("key", F.col("l.component").alias("big"))
         now = storage.materialise(now.join(largest.hint("merge"), "key"), "open")
         return None if now.isEmpty() else now
 
-    def against_one(now: DataFrame, leaders: DataFrame) -> DataFrame:
-        leader = F.struct(F.xxhash64("node").alias("h"), "node", "n", "component")
-        lead = leaders.groupBy("key").agg(F.min(leader).alias("l")).select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"), F.col("l.component").alias("its"))
+    def against_some(now: DataFrame, leaders: DataFrame, turn: int) -> DataFrame:
+        leader = lambda r: F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "component"))
+        lead = leaders.groupBy("key").agg(F.array(*[leader(turn * FEW + i) for i in range(FEW)]).alias("some"))
+        lead = lead.select("key", F.explode("some").alias("l")).select("key", F.col("l.node").alias("other"), F.col("l.n").alias("m"), F.col("l.component").alias("its"))
         pairs = now.join(lead.hint("merge"), "key").where((F.col("component") != F.col("its")) & close).select(*pair).distinct()
         return storage.materialise(_decide(pairs, sets, least), "links")
 
-    few = members.where(F.col("band") < FEW).withColumn("component", F.col("node"))
-    found = against_one(few, few)
+    every = members.withColumn("component", F.col("node"))
+    found = against_some(every, every, 0)
     placed = storage.materialise(components(found), "placed")
     now = open_buckets(placed)
     if now is None:
         return placed
-    found = found.unionAll(against_one(now, now.where("component = big")))
+    found = found.unionAll(against_some(now, now.where("component = big"), 1))
     placed = storage.materialise(components(found), "placed")
     now = open_buckets(placed)
     if now is None:
@@ -223,7 +205,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = base.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("body"))
     slim = storage.materialise(_prints(plain, shingle), "signatures")
-    members = storage.materialise(buckets(slim.select("node", "n", "keys").dropDuplicates(["node"])), "buckets")
+    members = storage.materialise(buckets(slim.select("node", "n", "print"), least), "buckets")
     used = members.select("node").distinct()
     first_row = slim.join(used.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "t")).alias("r")).select(F.col("r.id").alias("i"), F.col("r.t").alias("u"))
     bodies = plain.join(first_row, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left_semi").select("body")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from planarix import storage
 from planarix.llm import arrow, resemblance
+from planarix.llm.covering import masks
 from planarix.operators.components import components
 
 #: Buckets up to this size are compared blockwise, larger ones by neighbour look-up.
@@ -61,12 +62,6 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, k
     return arrow.with_columns(docs, "fp bigint", compute, keep)
 
 
-def masks(radius: int, bits: int = 64) -> list[int]:
-    """One mask for each non-zero vector of radius+1 bits; positions take the vectors in turn."""
-    size = 1 << (radius + 1)
-    return [sum(1 << i for i in range(bits) if ((1 + i % (size - 1)) & v).bit_count() % 2) for v in range(1, size)]
-
-
 class _Forest:
     """Union-find over positions of an array; roots are the smallest."""
 
@@ -155,8 +150,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Append `fp` and `component_id` to every row.
 
     With `similarity`, texts are linked by that Jaccard similarity of their shingle sets instead, and
-    only component_id is appended: fingerprints of texts 0.8 alike differ in ten bits as a rule, and covering
-    ten bits takes 2047 tables, so `resemblance` finds these links (see the README).
+    only component_id is appended. Fingerprints of texts 0.8 alike differ in ten of 64 bits as a rule, and covering
+    ten bits takes 2047 tables; so the fingerprints are longer ones of 440 bits and covered piece by piece
+    (`covering`), and what these tables link is decided on the sets (`resemblance`).
 
     Documents are linked when their fingerprints differ in `radius` bits at most; component_id is
     the smallest identifier reachable, the row's own included. Texts without words have
