@@ -7,7 +7,9 @@ between rows.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +46,59 @@ def with_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch],
         for batch in steps(batches):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + compute(batch), names=names)
 
-    return storage.spread(df).mapInArrow(run, schema)
+    return storage.spread(df).mapInArrow(lean(run), schema)
+
+
+_Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_KEPT: dict[str, object] = {}
+_STEP: list[str] = []
+
+
+def lean(run: _Run) -> _Run:
+    """`run` for mapInArrow, leaving little in its Python worker, which lives on for the tasks of other steps.
+
+    Memory that is free goes back to the system after each batch and each task; what a step has `kept` goes when
+    a task of another one begins.
+    """
+    step = uuid.uuid4().hex
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(step)
+        try:
+            yield from run(_one_by_one(batches))
+        finally:
+            give_back()
+
+    return task
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
+def begin(step: str) -> None:
+    """A task of `step` begins in this process: what others have kept goes."""
+    if _STEP != [step]:
+        _STEP[:] = [step]
+        _KEPT.clear()
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What `make` gives, made once for the tasks of a step that run in this process."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_back() -> None:
+    """Return what Arrow's pool and malloc hold free to the system; they would keep the most that any step needed."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM:
+        _MALLOC_TRIM(0)
 
 
 def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,7 +92,7 @@ class Tables:
 
 
 class Codec:
-    """Encoder and decoder; memories are bounded and live as long as the process."""
+    """Encoder and decoder; memories are bounded. A Python worker keeps one while it has tasks of the same step."""
 
     def __init__(self, tables: Tables) -> None:
         self.t = tables
@@ -211,14 +211,8 @@ class Codec:
         return np.frombuffer(self.t.blob, np.uint8)[at].tobytes().decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(shared, name: str) -> Codec:
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(shared.value)
-    return _CODECS[name]
+    return arrow.kept(f"codec {name}", lambda: Codec(shared.value))
 
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -184,7 +184,7 @@ def _forest(rows: DataFrame) -> DataFrame:
         if len(kept):
             yield batch()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(arrow.lean(run), "a bigint, b bigint").distinct()
 
 
 def _tables(prints: DataFrame, first: int, last: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _tables(prints: DataFrame, first: int, last: int) -> DataFrame:
                 columns = [g, *words.T[:SENT]]
                 yield pa.RecordBatch.from_arrays([pa.array(some.T.ravel()), *[pa.array(np.tile(x, some.shape[1])) for x in columns]], names=["bucket", "g", *_SENT])
 
-    return prints.select("print", "g").mapInArrow(run, f"bucket int, g bigint, {', '.join(f'{c} bigint' for c in _SENT)}")
+    return prints.select("print", "g").mapInArrow(arrow.lean(run), f"bucket int, g bigint, {', '.join(f'{c} bigint' for c in _SENT)}")
 
 
 def groups(prints: DataFrame) -> DataFrame:

@@ -214,9 +214,9 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
         yield from drain(trie, owned)
 
     parts = storage.partitions(docs.sparkSession)
-    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(combine, rows)
+    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(arrow.lean(combine), rows)
     dealt = small.repartition(parts, "n_bytes", "hash").select("body", "best", "n")
-    return dealt.mapInArrow(own, T.StructType().add("digest", "binary").add("keep_id", kind).add("group_size", "long"))
+    return dealt.mapInArrow(arrow.lean(own), T.StructType().add("digest", "binary").add("keep_id", kind).add("group_size", "long"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", limit: int = TRIE_BYTES) -> DataFrame:

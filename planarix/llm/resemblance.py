@@ -143,7 +143,7 @@ def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, least: float) -
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(arrow.lean(run), "a bigint, b bigint").distinct()
 
 
 def links(members: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:

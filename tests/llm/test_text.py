@@ -53,6 +53,33 @@ def test_bpe_random_strings(library, monkeypatch):
     assert codec.decode([0, 50256]) == library.decode([0, 50256], skip_special_tokens=False)
 
 
+def test_workers_keep_nothing_of_other_steps(spark):
+    """Python workers are used again by later steps: a codec and free memory of an earlier one mustn't add to theirs."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert bpe.encode(docs, PATH).where("size(ids) > 0").count() == 64
+
+    def held(batch):
+        import gc
+
+        gc.collect()
+        return [pa.array([sum(isinstance(x, bpe.Codec) for x in gc.get_objects())] * batch.num_rows)]
+
+    assert arrow.with_columns(docs, "codecs bigint", held).agg({"codecs": "max"}).first()[0] == 0
+
+    def anonymous() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) // 1024
+
+    def large(batch):
+        before = anonymous()
+        some = [pa.array([1.0] * (1 << 17)) for _ in range(128)]  # 1 MB each
+        del some
+        return [pa.array([before] * batch.num_rows)]
+
+    first = arrow.with_columns(docs, "mb bigint", large).agg({"mb": "min"}).first()[0]
+    assert arrow.with_columns(docs, "mb bigint", large).agg({"mb": "max"}).first()[0] < first + 64
+
+
 def test_sketches_match_plain_sets():
     texts = [r[1] for r in cases.rows()]
     for k in (4, 64):
